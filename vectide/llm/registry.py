@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectide.llm import quality
+from vectide.llm import fingerprints, ngram_join, quality
 from vectide.llm.scratch import table
 
 
@@ -10,8 +10,16 @@ def op9_quality_rules(spark, sf_dir):
     return quality.query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.query(table(spark, sf_dir, "documents"))
+
+
+def op10_document_fingerprints(spark, sf_dir):
+    return fingerprints.query(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op9_quality_rules,)}
+    return {f.__name__: f for f in (op4_ngram_jaccard_join, op9_quality_rules, op10_document_fingerprints)}
 
 
 def oracle_sql():
