@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectide.llm import fingerprints, ngram_join, quality
+from vectide.llm import fingerprints, ngram_join, packing, quality, token_files
 from vectide.llm.scratch import table
 
 
@@ -10,6 +10,14 @@ def op9_quality_rules(spark, sf_dir):
     return quality.query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_token_id_files(spark, sf_dir):
+    return token_files.query(table(spark, sf_dir, "documents"))
+
+
+def op3_harmonic_packing(spark, sf_dir):
+    return packing.query(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.query(table(spark, sf_dir, "documents"))
 
@@ -19,7 +27,7 @@ def op10_document_fingerprints(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op4_ngram_jaccard_join, op9_quality_rules, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op2_token_id_files, op3_harmonic_packing, op4_ngram_jaccard_join, op9_quality_rules, op10_document_fingerprints)}
 
 
 def oracle_sql():
