@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from vectide.llm import fingerprints, ngram_join, packing, quality, token_files
+from vectide.llm import chat, fingerprints, ngram_join, packing, quality, sharding, token_files
 from vectide.llm.scratch import table
 
 
+def op5_histogram_shards(spark, sf_dir):
+    return sharding.query(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_examples(spark, sf_dir):
+    return chat.query(spark, table(spark, sf_dir, "conversations"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality.query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,8 +35,8 @@ def op10_document_fingerprints(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_token_id_files, op3_harmonic_packing, op4_ngram_jaccard_join, op9_quality_rules, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op2_token_id_files, op3_harmonic_packing, op4_ngram_jaccard_join, op5_histogram_shards, op6_chat_examples, op9_quality_rules, op10_document_fingerprints)}
 
 
 def oracle_sql():
-    return {}
+    return {"op6_chat_examples": chat.ORACLE}
