@@ -2,15 +2,17 @@
 
 Every shingle of a document flips one bit of its sketch, so two sketches differ in at
 most as many bits as their sets differ in shingles. Sets that reach the similarity
-differ in at most ``delta`` shingles; a sketch is therefore cut into ``delta + 1``
-segments, of which such a pair agrees on one at least. Segments have 64 bits and their
-number follows the size band, so a document has about as many keys as a tenth of its shingles.
-Pairs that share a segment are verified on their whole sets.
-
-Equal sets are one class with one representative. Classes that share a segment are not
-paired with each other all at once: first each meets one centre of the segment; then
-those segments that still hold several components are paired in full, but for
-members of one component and pairs seen before. Every pair that links ends up in one component.
+differ in at most ``delta`` shingles. A sketch is cut into ``delta + 1 + spare`` segments of 2**32
+bits, of which such a pair agrees on ``1 + spare`` at least; the number follows the size band.
+A segment's key is a linear hash of its bits. Empty segments agree by chance, so a document
+with no more than ``spare`` of them leaves them out: an agreeing segment that is not empty remains.
+
+Equal sets are one class with one representative. Classes that share a key are linked
+to the key's smallest class, and chains of those are families. First the classes are held against
+the smallest ones, which joins up most groups. Families left in several components are
+then compared whole, block against block, by the Hamming distance of short sketches kept in
+memory; only pairs that the distance cannot rule out leave a task. Every pair is verified
+on its whole sets. So every pair that links is found, or its members are in one component already.
 
 Defined results: null text is empty; a document without words has no shingles and no
 link; with fewer words than a shingle the whole sequence is its one shingle; rows that share a doc_id share
@@ -29,7 +31,7 @@ from vectide.llm.scratch import materialize, ship
 from vectide.llm.textvec import Words, mix, runs, strings, windows
 
 GROWTH = 1.35
-STARS = 4
+BLOCK = 2048
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
@@ -65,11 +67,19 @@ class Bands:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * GROWTH)))
         return int(np.searchsorted(self.low, n, "right")) - 1
 
-    def segments(self, band: int) -> int:
-        """One more than the largest symmetric difference of a pair of this band."""
+    def segments(self, band: int) -> tuple[int, int]:
+        """Segments and, of these, spare ones. Without a difference to allow for there are
+        none: such pairs are equal."""
         small = self.low[band + 1] - 1
-        large = small * self.den // self.num
-        return (small + large) * (self.den - self.num) // (self.den + self.num) + 1
+        delta = self.delta(small, small * self.den // self.num)
+        if not delta:
+            return 0, 0
+        spare = 1 + int(2 * delta * np.exp(-self.low[band] / (1.05 * delta + 2)))
+        return delta + 1 + spare, spare
+
+    def delta(self, a, b):
+        """The largest symmetric difference of linked sets of these sizes."""
+        return (a + b) * (self.den - self.num) // (self.den + self.num)
 
     def holding(self, n: int) -> range:
         """The bands in which a set of n shingles is the smaller or the larger of a pair."""
@@ -77,10 +87,12 @@ class Bands:
         return range(self.of(-(-n * self.num // self.den)), last + 1)
 
 
-def sketch(s: np.ndarray, segments: int) -> np.ndarray:
-    """Parity sketch: 64 bits for each segment. s: sorted hashes, so segments are runs."""
+def segment_keys(s: np.ndarray, segments: int) -> np.ndarray:
+    """For each segment the hash of its bits: the xor of a hash for every bit that is set.
+    A shingle's segment comes from its high half, so the segments of sorted hashes are runs; its bit is
+    its low half."""
     segment = ((s >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
-    bit = np.uint64(1) << (s & np.uint64(63))
+    bit = mix((s & np.uint64(0xFFFFFFFF)) + np.uint64(1))
     first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
     out = np.zeros(segments, np.uint64)
     out[segment[first].astype(np.int64)] = np.bitwise_xor.reduceat(bit, first)
@@ -88,13 +100,33 @@ def sketch(s: np.ndarray, segments: int) -> np.ndarray:
 
 
 def keys_of(s: np.ndarray, bands: Bands) -> np.ndarray:
-    out = []
+    out = [np.zeros(0, np.uint64)]
     for band in bands.holding(len(s)):
-        m = bands.segments(band)
-        out.append(mix(sketch(s, m) + mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32))))
+        m, spare = bands.segments(band)
+        if m:
+            value = segment_keys(s, m)
+            at = np.flatnonzero(value)
+            if m - len(at) > spare:
+                at = np.arange(m)
+            out.append(mix(value[at] + mix(at.astype(np.uint64) + np.uint64(band << 32))))
     return np.concatenate(out).view(np.int64)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A short sketch: a power of two of bits, four to eight for each shingle. The xor of
+    its halves is the sketch of half the bits."""
+    width = max(64, 1 << (4 * len(s) - 1).bit_length())
+    bits = np.bincount(((s >> np.uint64(16)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fold(x: np.ndarray, words: int) -> np.ndarray:
+    while x.shape[-1] > words:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
 def _describe(k: int, num: int, den: int, keys: bool):
     def run(batches):
         bands = Bands(num, den)
@@ -190,42 +222,112 @@ def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return each.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, centre long")
 
 
+def _sketches(k: int):
+    def run(batches):
+        for batch in batches:
+            raw, at = strings(batch.column("text"))
+            sets = [x for i, j in runs(at) for x in shingle_sets(raw, at[i : j + 1], k)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x).tobytes() for x in sets], pa.binary())], names=["node", "n", "sketch"])
+
+    return run
+
+
+def _near(num: int, den: int):
+    """Of pairs with their sketches: those that the sketches cannot rule out."""
+
+    def run(batches):
+        bands = Bands(num, den)
+        for batch in batches:
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            keep = []
+            for x, y, n in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), n_a + n_b, strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                w = min(len(x), len(y))
+                keep.append(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum() <= bands.delta(int(n), 0))
+            sized = num * np.maximum(n_a, n_b) <= den * np.minimum(n_a, n_b)
+            part = batch.filter(pa.array(np.array(keep, bool) & sized))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"])
+
+    return run
+
+
+def _compare(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of a block pair that the sketches cannot rule out, between different components."""
+    bands, out = Bands(num, den), []
+    own: dict[int, list[dict]] = {}
+    for r in rows:
+        own.setdefault(len(r["sketch"]) // 8, []).append(r)
+    stack = {w: np.stack([np.frombuffer(r["sketch"], np.uint64) for r in x]) for w, x in own.items()}
+    facts = {w: [np.array([r[c] for r in x]) for c in ("n", "component", "node", "side")] for w, x in own.items()}
+    for w in own:
+        for v in (w, 2 * w):
+            if v not in own:
+                continue
+            wide = fold(stack[v], w)
+            n, component, node, side = facts[v]
+            for i, r in enumerate(own[w]):
+                later = np.arange(len(n)) > i if v == w else np.ones(len(n), bool)
+                # side 2: the block against itself; else the sides 0 and 1 against each other.
+                ok = later & (component != r["component"]) & ((side != r["side"]) | (side == 2)) & (num * np.maximum(n, r["n"]) <= den * np.minimum(n, r["n"]))
+                at = np.flatnonzero(ok)
+                if len(at):
+                    far = np.bitwise_count(wide[at] ^ stack[w][i]).sum(1)
+                    hit = at[far <= bands.delta(n[at] + r["n"], 0)]
+                    out += [(min(r["node"], x), max(r["node"], x)) for x in node[hit].tolist()]
+    return out
+
+
+def _blocks(num: int, den: int):
+    names = ["node", "n", "component", "side", "sketch"]
+
+    def run(batches):
+        held, place = [], None
+
+        def close():
+            found = _compare(held, num, den) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            places = zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j")), strict=True)
+            columns = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+            for at, row in zip(places, columns, strict=True):
+                if at != place:
+                    if len(held) > 1:
+                        yield close()
+                    held, place = [], at
+                held.append(dict(zip(names, row, strict=True)))
+        yield close()
+
+    return run
+
+
 def links(docs: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
     """Verified pairs (a, b) of classes that join up every pair that links; None: there are none."""
-    shared = materialize(candidates(docs, k, num, den), "segments")
-    involved = shared.select(F.col("node").alias("doc_id")).distinct()
-    texts = materialize(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), "texts")
+    shared = candidates(docs, k, num, den)
+    pairs = materialize(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return None
+    family = materialize(components(pairs), "families")
+    texts = materialize(docs.select("doc_id", "text").join(family.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    sketches = materialize(texts.mapInArrow(_sketches(k), "node long, n long, sketch binary"), "sketches")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = [texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
         return pairs.join(side[1], "b").join(side[0], "a").mapInArrow(_verify(k, num, den), "a long, b long")
 
-    pairs = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    tested = materialize(pairs, "pairs")
-    if tested.isEmpty():
-        return None
-    found = materialize(verified(tested), "found")
-    for turn in range(STARS + 1):
-        part_of = components(found)
-        rest = shared.select("key", "node").join(part_of, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        split = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("centre")).where("lo <> hi")
-        rest = materialize(rest.join(split.select("key", "n", "centre.node", "centre.component").toDF("key", "n", "c_node", "c_component"), "key"), "rest")
-        rows, squares = rest.agg(F.count("*"), F.sum("n")).collect()[0]
-        if not rows:
-            break
-        whole = squares <= 8 * rows or turn == STARS
-        if whole:
-            other = rest.select("key", F.col("node").alias("c_node"), F.col("component").alias("c_component"))
-            met = rest.select("key", "node", "component").join(other, "key").where("component < c_component")
-        else:
-            met = rest.where("component <> c_component")
-        pairs = met.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(found.unionByName(verified(pairs)), "found")
-        tested = tested.unionByName(pairs)
-        if whole:
-            break
-    return found
+    side = [sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+    near = pairs.join(side[1], "b").join(side[0], "a").mapInArrow(_near(num, den), "a long, b long")
+    found = materialize(verified(near), "found")
+    known = family.toDF("node", "family").join(components(found), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
+    known = materialize(known, "families")
+    split = known.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    rows = known.join(split.select("family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "family").join(sketches, "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "component", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "sketch")
+    more = place.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_blocks(num, den), "a long, b long").distinct()
+    more = materialize(more, "pairs")
+    return found.unionByName(materialize(verified(more), "found"))
 
 
 def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
