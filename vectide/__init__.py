@@ -1,0 +1 @@
+"""Vectide: a column algebra on Spark. Named vectors are lazy DataFrame expressions."""

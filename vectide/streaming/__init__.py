@@ -1,0 +1 @@
+"""The language has no streams: bulk loads arrive as whole files (``sources.catalog``)."""
