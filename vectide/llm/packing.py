@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm.scratch import materialize, ship
-from vectide.llm.tokens import Encoder, groups, vocabulary
+from vectide.llm.textvec import runs, strings
+from vectide.llm.tokens import Encoder, vocabulary
 
 CAPACITY, END, CUT_COST, FAN = 2048, 1, 8, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, worker long, number long, bin long, offset long"
@@ -106,10 +107,10 @@ def _fill(path: str, capacity: int, end: int):
         encoder, filler, worker, number = Encoder.open(path), Filler(capacity), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for i, j in groups([len(x) for x in texts]):
+            raw, bounds = strings(batch.column("text"))
+            for i, j in runs(bounds):
                 out = []
-                flat, at = encoder.encode(texts[i:j])
+                flat, at = encoder.encode(raw, bounds[i : j + 1])
                 for d, a, b in zip(ids_of[i:j], at[:-1].tolist(), at[1:].tolist(), strict=True):
                     own = np.append(flat[a:b], np.uint32(end)).astype("<u4")
                     start = 0

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from vectide.llm.ranges import parts_for
 from vectide.llm.rangecoder import BLOCK, LANES, block_size, decode_blocks, encode_blocks
 from vectide.llm.scratch import materialize, ship
-from vectide.llm.tokens import Encoder, groups, vocabulary
+from vectide.llm.textvec import runs, strings
+from vectide.llm.tokens import Encoder, vocabulary
 
 END = 2
 _HEAD = struct.Struct("<4sIII")  # magic, documents, crc32 of the index, blocks
@@ -78,9 +79,9 @@ def _write(path: str, end: int):
 
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for i, j in groups([len(x) for x in texts]):
-                flat, at = encoder.encode(texts[i:j])
+            raw, bounds = strings(batch.column("text"))
+            for i, j in runs(bounds):
+                flat, at = encoder.encode(raw, bounds[i : j + 1])
                 n = j - i
                 ids.append(np.insert(flat, at[1:], np.uint32(end)))
                 sizes += (np.diff(at) + 1).tolist()

@@ -1,26 +1,36 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded memo of chunks.
-
-A text is cut where the tokenizer's own pre-tokenisation must cut it whatever stands
-around, every new chunk is encoded by the library once, and the ids of a text are those of its
-chunks in order. The cuts: for a word model that drops white space, every space and
-newline; for a byte-level model, a single space or newline between two characters that are not white space
-(the space begins the next chunk). The memo is emptied when it holds ``LIMIT`` chunks.
+"""Token ids of whole texts by the tokenizers library, with a memo of chunks.
+
+A text is cut where the tokenizers used here must cut it themselves whatever stands around: before
+a single space, and on both sides of a single newline, between characters that are not white space
+(the space begins the next chunk), and between a letter and a mark of ``.,;:!?``. That holds for byte-level models, whose words take
+one space before them, and for those that drop white space. Chunks are looked up in lower case where the model lowers letters. Every chunk that is new to the
+process is encoded by the library; the ids of a text are those of its chunks in order. Chunks are known by
+64-bit hashes and lengths in numpy tables, emptied at ``LIMIT`` chunks.
 """
 
 from __future__ import annotations
 
-import json
 import os
-import re
 
 import numpy as np
 
-from vectide.llm.textvec import spans
+from vectide.llm.textvec import LOWER, Powers, mix, spans
+
+LIMIT = 2_500_000
 
-LIMIT = 500_000
-GROUP = 1 << 20
-_ODD = re.compile(r"[^\S \n]|\s\s|^\s|\s\Z")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space, or a control character that some patterns count as such.
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+#: First bytes of characters among which there is other white space: C2 and E1 to E3.
+_LEAD2 = np.zeros(256, bool)
+_LEAD2[0xC2] = True
+_LEAD3 = np.zeros(256, bool)
+_LEAD3[0xE1:0xE4] = True
+#: Marks and ASCII letters; C3 begins Latin letters but for two signs.
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 def vocabulary(name: str) -> str:
@@ -32,8 +42,29 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def chunk_starts(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Where chunks begin in texts that stand end to end; ``begin``: where the texts do."""
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    at = at[(at > 0) & (at < n - 1)]
+    if len(at):
+        before, after = data[at - 1], data[at + 1]
+        wide = (before >= 0x80) & (_LEAD2[data[at - 2]] | _LEAD3[data[np.maximum(at - 3, 0)]])
+        at = at[~(_SPACE[before] | wide | _SPACE[after] | _LEAD2[after] | _LEAD3[after])]
+        edge[at] = True
+        edge[at[data[at] == 0x0A] + 1] = True
+    mark = np.flatnonzero(_MARK[data])
+    mark = mark[mark > 1]
+    if len(mark):
+        before, lead = data[mark - 1], data[mark - 2]
+        edge[mark[_LETTER[before] | ((lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))]] = True
+    edge[begin] = True
+    return np.flatnonzero(edge[:n])
+
+
 class Encoder:
-    """Encodes lists of texts; ``open`` keeps one for each file and process."""
+    """Encodes runs of texts; ``open`` keeps one for each file and process."""
 
     _open: dict[str, Encoder] = {}
 
@@ -43,12 +74,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            self.by_bytes = '"ByteLevel"' in json.dumps(json.load(f).get("pre_tokenizer")) and not self._drops_space()
-        self._clear()
-
-    def _drops_space(self) -> bool:
-        return not self.library.encode(" ", add_special_tokens=False).ids
+        ids = lambda x: self.library.encode(x, add_special_tokens=False).ids
+        self.lowers = ids("AQZ") == ids("aqz")
+        self.clear()
 
     @classmethod
     def open(cls, path: str) -> Encoder:
@@ -56,14 +84,15 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _clear(self):
-        self.memo: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
+    def clear(self):
+        self.keys = np.zeros(0, np.uint64)
+        self.slot = np.zeros(0, np.int64)
+        self.flat = np.zeros(1 << 16, np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32)
         self.at = np.zeros(1 << 16, np.int64)
         self.n = self.used = 0
 
-    def _learn(self, new: list[str]):
-        ids = [e.ids for e in self.library.encode_batch(new, add_special_tokens=False)]
+    def _learn(self, new: list[str]) -> np.ndarray:
+        ids = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(size.sum())
         while self.used + total > len(self.flat):
@@ -72,55 +101,36 @@ class Encoder:
             self.at = np.concatenate((self.at, np.zeros_like(self.at)))
         self.flat[self.used : self.used + total] = [x for e in ids for x in e]
         self.at[self.n + 1 : self.n + 1 + len(ids)] = self.used + np.cumsum(size)
-        self.memo.update(zip(new, range(self.n, self.n + len(ids)), strict=True))
+        slots = np.arange(self.n, self.n + len(ids))
         self.n += len(ids)
         self.used += total
-
-    def chunks(self, text: str) -> list[str]:
-        if not self.by_bytes:
-            return text.replace("\n", " ").split(" ")
-        if _ODD.search(text):
-            first, *rest = _CUT.split(text)
-            return [first, *[" " + x for x in rest]]
-        lines = text.split("\n")
-        out: list[str] = []
-        for k, line in enumerate(lines):
-            if k:
-                out.append("\n")
-            words = line.replace(" ", "\0 ").split("\0") if "\0" not in line else None
-            if words is None:
-                first, *rest = _CUT.split(line)
-                words = [first, *[" " + x for x in rest]]
-            out += words
-        return out
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and the bounds of each text's ids."""
-        if len(self.memo) > LIMIT:
-            self._clear()
-        flat: list[str] = []
-        bounds = [0]
-        for text in texts:
-            if text:
-                flat += self.chunks(text)
-            bounds.append(len(flat))
-        new = list(set(flat).difference(self.memo))
-        if new:
-            self._learn(new)
-        which = np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat))
-        begin = self.at[which]
-        size = self.at[which + 1] - begin
+        return slots
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts ``raw[at[i] : at[i + 1]]`` end to end, and the bounds of each text's ids."""
+        data = raw[at[0] : at[-1]]
+        bounds = at - at[0]
+        start = chunk_starts(data, bounds)
+        end = np.append(start[1:], len(data))
+        up, down = Powers.to(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(((LOWER[data] if self.lowers else data).astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        u, first, which = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) + len(u) > LIMIT:
+            self.clear()
+        place = np.searchsorted(self.keys, u)
+        inside = np.minimum(place, len(self.keys) - 1)
+        new = self.keys[inside] != u if len(self.keys) else np.ones(len(u), bool)
+        if new.any():
+            body = data.tobytes()
+            texts = [body[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+            slots = self._learn(texts)
+            self.keys = np.insert(self.keys, place[new], u[new])
+            self.slot = np.insert(self.slot, place[new], slots)
+            place = np.searchsorted(self.keys, u)
+        chunk = self.slot[place][which] if len(u) else np.zeros(0, np.int64)
+        begin = self.at[chunk]
+        size = self.at[chunk + 1] - begin
         ends = np.concatenate(([0], np.cumsum(size)))
-        return self.flat[spans(begin, size)], ends[bounds]
-
-
-def groups(sizes: list[int], limit: int = GROUP):
-    """Ranges of texts of about ``limit`` characters."""
-    i = 0
-    while i < len(sizes):
-        j, total = i, 0
-        while j < len(sizes) and (j == i or total + sizes[j] <= limit):
-            total += sizes[j]
-            j += 1
-        yield i, j
-        i = j
+        return self.flat[spans(begin, size)].astype(np.uint32), ends[np.searchsorted(start, bounds)]
