@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vectide.llm.scratch import without
+
 #: Spellings that count as the same, after case and punctuation are gone.
 EQUIVALENT = [
     ("acknowledgement", "acknowledgment"),
@@ -123,7 +125,7 @@ def known(docs: DataFrame, licences: list[tuple[str, str]]) -> DataFrame:
 def scan(docs: DataFrame, licences: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """``docs`` with digest and license (null: not a known one). The known list is held in the
     plan itself, so its side is as small as the list."""
-    own = docs.select(*[c for c in docs.columns if c not in ("digest", "license")])
+    own = docs.select(*without(docs.columns, "digest", "license"))
     return own.withColumn("digest", digest(F.col("text"))).join(F.broadcast(known(docs, licences)), "digest", "left")
 
 

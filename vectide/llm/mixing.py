@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectide.llm.quality import CHAR_BITS, SCALE, WORD_BITS, descend, features, labelled_sample
-from vectide.llm.scratch import materialize, ship
+from vectide.llm.scratch import materialize, ship, unused
 from vectide.llm.textvec import Words, runs, segment_sums, strings
 
 DIMS = (1 << WORD_BITS) + (1 << CHAR_BITS)
@@ -191,11 +191,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
             raw, at = strings(batch.column("text"))
             p = [model.posteriors(Words(raw, at[i : j + 1])) for i, j in runs(at)]
             p = np.concatenate([np.zeros((0, len(model.bias))), *p])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(p, steps))], names=[*batch.schema.names, "_rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(p, steps))], names=[*batch.schema.names, "rate"])
 
-    rated = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_rate", T.DoubleType())]))
-    taken = rated.withColumn("_copies", copies(F.col("_rate"))).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rate, n, one = unused(docs.columns, "_rate", "_copies", "_copy")
+    rated = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(rate, T.DoubleType())]))
+    taken = rated.withColumn(n, copies(F.col(rate))).where(F.col(n) > 0)
+    return taken.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

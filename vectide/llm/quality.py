@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectide.llm.scratch import ship
+from vectide.llm.scratch import ship, without
 from vectide.llm.textvec import IS_SPACE, Words, runs, segment_sums, strings, windows
 
 WORD_BITS = 17
@@ -209,8 +209,7 @@ COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
     """``docs`` with the figures and the verdict of each document beside its own columns."""
     added = T._parse_datatype_string(COLUMNS)
-    taken = {f.name for f in added}
-    own = docs.select(*[c for c in docs.columns if c not in taken])
+    own = docs.select(*without(docs.columns, *added.names))
 
     def run(batches):
         for batch in batches:

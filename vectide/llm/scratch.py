@@ -50,3 +50,20 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names for own columns beside ``columns``: the given ones, longer where they are taken."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(columns: list[str], *names: str) -> list[str]:
+    """``columns`` but for those that are about to be made anew."""
+    return [c for c in columns if c.lower() not in names]

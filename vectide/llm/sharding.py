@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm.ranges import bucket_of, parts_for
-from vectide.llm.scratch import materialize
+from vectide.llm.scratch import materialize, unused, without
 
 FIRST_BITS, STEP_BITS = 12, 6
 TOLERANCE, LOOSE = 0.01, 0.25
@@ -120,12 +120,11 @@ def shard(docs: DataFrame, shards: int = 40, finer: int | None = None) -> DataFr
     finer = finer or max(1, -(-parts_for(spark) // shards))
     h, d = _key_columns()
     keys = materialize(docs.select(h.alias("h"), d.alias("d"), size_of().alias("size")), "keys")
-    cuts = [c for c in splitters(keys, shards, finer)]
-    real = [c for c in cuts if c[0] < 1 << 63]
+    real = [c for c in splitters(keys, shards, finer) if c[0] < 1 << 63]
 
-    def bucket() -> Column:
+    def bucket(hn: str = "h", dn: str = "d") -> Column:
         # Equal splitters leave the ranges between them empty: the last of them counts.
-        return bucket_of(lambda s: (F.col("h") < F.lit(s[0])) | ((F.col("h") == F.lit(s[0])) & (F.col("d") < F.lit(s[1]))), real)
+        return bucket_of(lambda s: (F.col(hn) < F.lit(s[0])) | ((F.col(hn) == F.lit(s[0])) & (F.col(dn) < F.lit(s[1]))), real)
 
     count = {r.b: r.n for r in keys.groupBy(bucket().alias("b")).agg(F.count("*").alias("n")).collect()}
     base, seen = [], 0
@@ -133,12 +132,13 @@ def shard(docs: DataFrame, shards: int = 40, finer: int | None = None) -> DataFr
         seen = 0 if b % finer == 0 else seen
         base.append(seen)
         seen += count.get(b, 0)
-    own = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    rows = docs.select(*own, h.alias("h"), d.alias("d"), size_of().alias("size")).withColumn("b", bucket())
-    dealt = rows.repartitionById(shards * finer, F.col("b")).sortWithinPartitions("b", "h", "d")
+    own = without(docs.columns, "size", "shard", "slot")
+    hn, dn, bn, sn = unused(docs.columns, "_h", "_d", "_b", "_size")
+    rows = docs.select(*own, h.alias(hn), d.alias(dn), size_of().alias(sn)).withColumn(bn, bucket(hn, dn))
+    dealt = rows.repartitionById(shards * finer, F.col(bn)).sortWithinPartitions(bn, hn, dn)
     local = F.monotonically_increasing_id() % F.lit(1 << 33)
-    first = F.element_at(F.array(*map(F.lit, base)), F.col("b") + 1)
-    return dealt.select(*own, "size", F.floor(F.col("b") / finer).cast("int").alias("shard"), (first + local).cast("long").alias("slot"))
+    first = F.element_at(F.array(*map(F.lit, base)), F.col(bn) + 1)
+    return dealt.select(*own, F.col(sn).alias("size"), F.floor(F.col(bn) / finer).cast("int").alias("shard"), (first + local).cast("long").alias("slot"))
 
 
 def query(docs: DataFrame) -> DataFrame:
