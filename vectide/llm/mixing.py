@@ -185,15 +185,15 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """``docs``, every row as many times as its rate says. The rates are found again from
     the texts, so nothing is joined."""
     model, _, steps = _plan(docs, labels, targets, total, sample_rows)
+    rate, n, one = unused(docs.columns, "_rate", "_copies", "_copy")
 
     def run(batches):
         for batch in batches:
             raw, at = strings(batch.column("text"))
             p = [model.posteriors(Words(raw, at[i : j + 1])) for i, j in runs(at)]
             p = np.concatenate([np.zeros((0, len(model.bias))), *p])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(p, steps))], names=[*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(p, steps))], names=[*batch.schema.names, rate])
 
-    rate, n, one = unused(docs.columns, "_rate", "_copies", "_copy")
     rated = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(rate, T.DoubleType())]))
     taken = rated.withColumn(n, copies(F.col(rate))).where(F.col(n) > 0)
     return taken.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
