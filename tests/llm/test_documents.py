@@ -7,12 +7,14 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from vectide.llm import chat, fingerprints, licences, mixing, quality, registry, sharding
+from vectide.llm.textvec import Words, strings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,6 +62,18 @@ def test_quality_without_labels(odd, labels):
         assert all(r.kept != r.base_failed and r.p_quality == 1.0 for r in rows)
 
 
+def test_features_of_a_text_do_not_depend_on_its_neighbours():
+    texts = ["a", "", "bc d", "ef", "longer text here"]
+
+    def sparse(some):
+        raw, at = strings(pa.array(some))
+        words = Words(raw, at)
+        parts = quality.features(words)
+        return [[x.tolist() for x in quality._sparse(words, d, parts)] for d in range(len(some))]
+
+    assert sparse(texts) == [sparse([t])[0] for t in texts] == sparse(texts[::-1])[::-1]
+
+
 def test_platt_scaling():
     rng = np.random.default_rng(0)
     z = rng.normal(0, 3, 4000)

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from vectide.llm.quality import CHAR_BITS, SCALE, WORD_BITS, descend, features, labelled_sample
 from vectide.llm.scratch import materialize, ship, unused
-from vectide.llm.textvec import Words, runs, segment_sums, strings
+from vectide.llm.textvec import Words, range_sums, runs, strings
 
 SNAP = 0.05
 DIMS = (1 << WORD_BITS) + (1 << CHAR_BITS)
@@ -51,14 +51,13 @@ class Classifier:
     bias: np.ndarray
 
     def posteriors(self, words: Words) -> np.ndarray:
-        word, w_at, gram, c_at = features(words)
-        z = np.tile(self.bias, (len(w_at) - 1, 1))
-        for k in range(len(self.bias)):
-            own = self.weights[k]
-            for index, at in ((word, w_at), (gram, c_at)):
-                z[:, k] += SCALE * segment_sums(own[index], at) / np.maximum(np.diff(at), 1)
+        z = np.tile(self.bias, (len(words.begin) - 1, 1))
+        for index, begin, end in features(words):
+            for k in range(len(self.bias)):
+                z[:, k] += SCALE * range_sums(self.weights[k][index], begin, end) / np.maximum(end - begin, 1)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return p / p.sum(1, keepdims=True)
+        # Rounded, so that sums in another order of rows lead to the same rates.
+        return np.round(p / p.sum(1, keepdims=True), 6)
 
 
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str], sample_rows: int = 3000) -> Classifier:
@@ -81,7 +80,7 @@ def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     r = np.ones(len(p))
     for g in steps:
         r = np.maximum(0.0, r - p @ g)
-    return r
+    return np.round(r, 6)
 
 
 def _members(model: Classifier):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectide.llm.scratch import ship, without
-from vectide.llm.textvec import IS_SPACE, Words, runs, segment_sums, strings, windows
+from vectide.llm.textvec import IS_SPACE, Words, range_sums, runs, segment_sums, strings, windows
 
 WORD_BITS = 17
 CHAR_BITS = 16
@@ -30,12 +30,17 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed word indices with their bounds by text, and hashed 3-gram indices with theirs."""
+Part = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def features(words: Words) -> tuple[Part, Part]:
+    """Hashed word indices and hashed 3-gram indices, each with where those of a text begin and
+    end. The 3-grams of a text end with the space behind it and reach into no other."""
     word = (words.hashes() >> np.uint64(64 - WORD_BITS)).astype(np.int32)
     b = words.data.astype(np.uint32)
     gram = ((b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS)
-    return word, words.first, gram.astype(np.int32) + (1 << WORD_BITS), np.minimum(words.begin, len(gram))
+    begin = np.minimum(words.begin[:-1], len(gram))
+    return (word, words.first[:-1], words.first[1:]), (gram.astype(np.int32) + (1 << WORD_BITS), begin, np.maximum(begin, words.begin[1:] - 2))
 
 
 @dataclass
@@ -46,10 +51,9 @@ class Model:
     shift: float = 0.0
 
     def scores(self, words: Words) -> np.ndarray:
-        word, w_at, gram, c_at = features(words)
-        total = np.full(len(w_at) - 1, self.bias)
-        for index, at in ((word, w_at), (gram, c_at)):
-            total += SCALE * segment_sums(self.weights[index], at) / np.maximum(np.diff(at), 1)
+        total = np.full(len(words.begin) - 1, self.bias)
+        for index, begin, end in features(words):
+            total += SCALE * range_sums(self.weights[index], begin, end) / np.maximum(end - begin, 1)
         return total
 
     def probabilities(self, words: Words) -> np.ndarray:
@@ -57,10 +61,9 @@ class Model:
 
 
 def _sparse(words: Words, d: int, parts) -> tuple[np.ndarray, np.ndarray]:
-    word, w_at, gram, c_at = parts
     index, value = [], []
-    for x, at in ((word, w_at), (gram, c_at)):
-        i, n = np.unique(x[at[d] : at[d + 1]], return_counts=True)
+    for x, begin, end in parts:
+        i, n = np.unique(x[begin[d] : end[d]], return_counts=True)
         index.append(i)
         value.append(n * SCALE / max(1, n.sum()))
     return np.concatenate(index).astype(np.int32), np.concatenate(value).astype(np.float32)

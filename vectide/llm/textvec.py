@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -130,6 +130,11 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of ``values[bounds[i] : bounds[i + 1]]``; empty segments give 0."""
+    return range_sums(values, bounds[:-1], bounds[1:])
+
+
+def range_sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of ``values[begin[i] : end[i]]``."""
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=total[1:])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    return total[end] - total[begin]
