@@ -4,15 +4,16 @@ Every shingle of a document flips one bit of its sketch, so two sketches differ
 most as many bits as their sets differ in shingles. Sets that reach the similarity
 differ in at most ``delta`` shingles. A sketch is cut into ``delta + 1 + spare`` segments of 2**32
 bits, of which such a pair agrees on ``1 + spare`` at least; the number follows the size band.
-A segment's key is a linear hash of its bits. Empty segments agree by chance, so a document
-with no more than ``spare`` of them leaves them out: an agreeing segment that is not empty remains.
+A segment's key is a linear hash of its bits. Segments of few shingles agree by chance or by
+one passage, so a document with no more than ``spare`` of them leaves them out (up to two shingles, one
+or none, as the band allows): of the segments that agree one that is fuller remains on both sides.
 
-Equal sets are one class with one representative. Classes that share a key are linked
-to the key's smallest class, and chains of those are families. First the classes are held against
-the smallest ones, which joins up most groups. Families left in several components are
+Equal sets are one class with one representative. First the classes that share a key are held against
+the key's smallest class, which joins up most groups. Keys whose classes are still in several components are
 then compared whole, block against block, by the Hamming distance of short sketches kept in
-memory; only pairs that the distance cannot rule out leave a task. Every pair is verified
-on its whole sets. So every pair that links is found, or its members are in one component already.
+memory; only pairs that the distance cannot rule out leave a task. In ``TURNS`` first turns over the
+larger keys every class names one such partner, so that groups join up before, last, all such pairs
+between what components are left are named. Every pair is verified on its whole sets. So every pair that links is found, or its members are in one component already.
 
 Defined results: null text is empty; a document without words has no shingles and no
 link; with fewer words than a shingle the whole sequence is its one shingle; rows that share a doc_id share
@@ -32,6 +33,7 @@ from vectide.llm.textvec import Words, mix, runs, strings, windows
 
 GROWTH = 1.35
 BLOCK = 2048
+TURNS, LARGE = 2, 8
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
@@ -67,15 +69,22 @@ class Bands:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * GROWTH)))
         return int(np.searchsorted(self.low, n, "right")) - 1
 
-    def segments(self, band: int) -> tuple[int, int]:
-        """Segments and, of these, spare ones. Without a difference to allow for there are
-        none: such pairs are equal."""
+    def segments(self, band: int) -> tuple[int, int, int]:
+        """Segments; of these, spare ones; and the largest number of shingles for which a segment is
+        left out. Without a difference to allow for there are no segments: such pairs are equal."""
         small = self.low[band + 1] - 1
         delta = self.delta(small, small * self.den // self.num)
         if not delta:
-            return 0, 0
-        spare = 1 + int(2 * delta * np.exp(-self.low[band] / (1.05 * delta + 2)))
-        return delta + 1 + spare, spare
+            return 0, 0, 0
+        for thin in (2, 1, 0):
+            # As many spare ones as there are thin segments in all but few documents of the band.
+            for spare in range(1, 2 + delta // 4):
+                m = delta + 1 + spare
+                mean = self.low[band] / m
+                few = m * np.exp(-mean) * sum(mean**c / (1, 1, 2)[c] for c in range(thin + 1))
+                if spare >= few + 2 * np.sqrt(few):
+                    return m, spare, thin
+        return delta + 2, 1, 0
 
     def delta(self, a, b):
         """The largest symmetric difference of linked sets of these sizes."""
@@ -87,25 +96,25 @@ class Bands:
         return range(self.of(-(-n * self.num // self.den)), last + 1)
 
 
-def segment_keys(s: np.ndarray, segments: int) -> np.ndarray:
-    """For each segment the hash of its bits: the xor of a hash for every bit that is set.
-    A shingle's segment comes from its high half, so the segments of sorted hashes are runs; its bit is
-    its low half."""
-    segment = ((s >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+def segment_keys(s: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment the hash of its bits, the xor of a hash for every bit that is set, and
+    its number of shingles. A shingle's segment comes from its high half, so the segments of sorted
+    hashes are runs; its bit is its low half."""
+    segment = (((s >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)
     bit = mix((s & np.uint64(0xFFFFFFFF)) + np.uint64(1))
     first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
     out = np.zeros(segments, np.uint64)
-    out[segment[first].astype(np.int64)] = np.bitwise_xor.reduceat(bit, first)
-    return out
+    out[segment[first]] = np.bitwise_xor.reduceat(bit, first)
+    return out, np.bincount(segment, minlength=segments)
 
 
 def keys_of(s: np.ndarray, bands: Bands) -> np.ndarray:
     out = [np.zeros(0, np.uint64)]
     for band in bands.holding(len(s)):
-        m, spare = bands.segments(band)
+        m, spare, thin = bands.segments(band)
         if m:
-            value = segment_keys(s, m)
-            at = np.flatnonzero(value)
+            value, size = segment_keys(s, m)
+            at = np.flatnonzero(size > thin)
             if m - len(at) > spare:
                 at = np.arange(m)
             out.append(mix(value[at] + mix(at.astype(np.uint64) + np.uint64(band << 32))))
@@ -113,9 +122,9 @@ def keys_of(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """A short sketch: a power of two of bits, four to eight for each shingle. The xor of
+    """A short sketch: a power of two of bits, two to four for each shingle. The xor of
     its halves is the sketch of half the bits."""
-    width = max(64, 1 << (4 * len(s) - 1).bit_length())
+    width = max(64, 1 << (2 * len(s) - 1).bit_length())
     bits = np.bincount(((s >> np.uint64(16)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -127,37 +136,59 @@ def fold(x: np.ndarray, words: int) -> np.ndarray:
     return x
 
 
-def _describe(k: int, num: int, den: int, keys: bool):
+def class_ids(f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
+    """A 64-bit name for the class of a set. Two classes may share one: both are then candidates."""
+    return mix(f1 + mix(f2)).view(np.int64)
+
+
+def _marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit marks of each set."""
+    f1 = np.array([np.add.reduce(s) for s in sets], np.uint64)
+    return f1, np.array([np.bitwise_xor.reduce(mix(s)) for s in sets], np.uint64)
+
+
+def _classify(k: int):
     def run(batches):
-        bands = Bands(num, den)
         for batch in batches:
             raw, at = strings(batch.column("text"))
-            sets = (s for i, j in runs(at) for s in shingle_sets(raw, at[i : j + 1], k))
-            size, f1, f2, bag = [], [], [], []
-            for s in sets:
-                size.append(len(s))
-                f1.append(int(np.add.reduce(s)))
-                f2.append(int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0)
-                if keys:
-                    bag.append(keys_of(s, bands).tobytes() if len(s) else b"")
-            own = [c for c in batch.schema.names if c != "text"]
-            columns = [batch.column(c) for c in own] + [pa.array(size, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f1, f2))]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(bag, pa.binary())] if keys else []), names=[*own, "n_shingles", "f1", "f2"] + ["keys"] * keys)
+            sets = [s for i, j in runs(at) for s in shingle_sets(raw, at[i : j + 1], k)]
+            f1, f2 = _marks(sets)
+            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x) for x in (class_ids(f1, f2), f1.view(np.int64), f2.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "f1", "f2"])
 
     return run
 
 
-def _explode(batches):
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 500):
-            part = batch.slice(begin, 500)
-            keys = [np.frombuffer(x, np.int64) for x in part.column("keys").to_pylist()]
-            nodes = np.repeat(part.column("node").to_numpy(), [len(x) for x in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(nodes)], names=["key", "node"])
+#: So many classes a task remembers, to send the keys of copies once.
+SEEN = 100_000
+
+
+def _keys(k: int, num: int, den: int):
+    def run(batches):
+        bands, seen = Bands(num, den), set()
+        for batch in batches:
+            raw, at = strings(batch.column("text"))
+            for i, j in runs(at):
+                sets = [s for s in shingle_sets(raw, at[i : j + 1], k) if len(s)]
+                keys, names = [np.zeros(0, np.int64)], []
+                f1, f2 = _marks(sets)
+                for s, c, both in zip(sets, class_ids(f1, f2).tolist(), zip(f1.tolist(), f2.tolist(), strict=True), strict=True):
+                    if both in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(both)
+                    keys.append(keys_of(s, bands))
+                    names.append(c)
+                nodes = np.repeat(np.array(names, np.int64), [len(x) for x in keys[1:]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(nodes)], names=["key", "node"])
+
+    return run
 
 
 def _shared(batches):
-    """Of rows sorted by key: those whose key occurs again, with the first node of the key."""
+    """Of rows sorted by key and node, each pair once: those whose key occurs again, with the first
+    node of the key."""
     key = node = np.zeros(0, np.int64)
     centre = None  # of the last row's key
 
@@ -176,6 +207,8 @@ def _shared(batches):
     for batch in batches:
         key = np.concatenate((key, batch.column("key").to_numpy()))
         node = np.concatenate((node, batch.column("node").to_numpy()))
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+        key, node = key[fresh], node[fresh]
         if len(key) < 2:
             continue
         out, centre = told(key, node, centre, False)
@@ -206,19 +239,17 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
-def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, node) by row: node is the smallest doc_id with the same set."""
-    rows = docs.select("doc_id", "text").mapInArrow(_describe(k, num, den, False), "doc_id long, n_shingles long, f1 long, f2 long")
+def classes(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n_shingles, class, node) by row: node is the smallest doc_id with the same set."""
+    rows = docs.select("doc_id", "text").mapInArrow(_classify(k), "doc_id long, n_shingles long, class long, f1 long, f2 long")
     rows = materialize(rows, "sets")
     same = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    return rows.join(same, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
+    return rows.join(same, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", "class", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
 
 
 def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(key, node, centre): classes that share a segment, with the smallest class of the segment."""
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_describe(k, num, den, True), "doc_id long, n_shingles long, f1 long, f2 long, keys binary")
-    one = rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-    each = one.select("node", "keys").mapInArrow(_explode, "key long, node long")
+    """(key, node, centre): class names that share a segment, with the smallest of the segment."""
+    each = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_keys(k, num, den), "key long, node long")
     return each.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, centre long")
 
 
@@ -251,8 +282,9 @@ def _near(num: int, den: int):
     return run
 
 
-def _compare(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of a block pair that the sketches cannot rule out, between different components."""
+def _compare(rows: list[dict], num: int, den: int, turn: int | None = None) -> list[tuple[int, int]]:
+    """Pairs of a block pair that the sketches cannot rule out, between different components: all of
+    them, or in a turn one for each row, by a hash of both and the turn."""
     bands, out = Bands(num, den), []
     own: dict[int, list[dict]] = {}
     for r in rows:
@@ -273,22 +305,24 @@ def _compare(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
                 if len(at):
                     far = np.bitwise_count(wide[at] ^ stack[w][i]).sum(1)
                     hit = at[far <= bands.delta(n[at] + r["n"], 0)]
+                    if turn is not None and len(hit) > 1:
+                        hit = hit[[mix((node[hit] + (r["node"] * 31 + turn)).astype(np.uint64)).argmin()]]
                     out += [(min(r["node"], x), max(r["node"], x)) for x in node[hit].tolist()]
     return out
 
 
-def _blocks(num: int, den: int):
+def _blocks(num: int, den: int, turn: int | None = None):
     names = ["node", "n", "component", "side", "sketch"]
 
     def run(batches):
         held, place = [], None
 
         def close():
-            found = _compare(held, num, den) if len(held) > 1 else []
+            found = _compare(held, num, den, turn) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            places = zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j")), strict=True)
+            places = zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True)
             columns = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
             for at, row in zip(places, columns, strict=True):
                 if at != place:
@@ -301,40 +335,51 @@ def _blocks(num: int, den: int):
     return run
 
 
-def links(docs: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
-    """Verified pairs (a, b) of classes that join up every pair that links; None: there are none."""
-    shared = candidates(docs, k, num, den)
-    pairs = materialize(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+    """Verified pairs (a, b) of nodes that join up every pair that links; None: there are none.
+    rows: from ``classes``."""
+    named = rows.where("doc_id = node AND n_shingles > 0").select("class", "node").distinct()
+    shared = candidates(docs, k, num, den).withColumnRenamed("node", "class").withColumnRenamed("centre", "c_class")
+    shared = materialize(shared.join(named, "class").join(named.toDF("c_class", "centre"), "c_class").select("key", "node", "centre"), "segments")
+    pairs = shared.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    pairs = materialize(pairs, "pairs")
     if pairs.isEmpty():
         return None
-    family = materialize(components(pairs), "families")
-    texts = materialize(docs.select("doc_id", "text").join(family.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "texts")
-    sketches = materialize(texts.mapInArrow(_sketches(k), "node long, n long, sketch binary"), "sketches")
+    sketches = materialize(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_sketches(k), "node long, n long, sketch binary"), "sketches")
+    sketches = sketches.dropDuplicates(["node", "sketch"])
 
     def verified(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
+        texts = materialize(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
         side = [texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
         return pairs.join(side[1], "b").join(side[0], "a").mapInArrow(_verify(k, num, den), "a long, b long")
 
     side = [sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
-    near = pairs.join(side[1], "b").join(side[0], "a").mapInArrow(_near(num, den), "a long, b long")
+    near = materialize(pairs.join(side[1], "b").join(side[0], "a").mapInArrow(_near(num, den), "a long, b long"), "near")
     found = materialize(verified(near), "found")
-    known = family.toDF("node", "family").join(components(found), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
-    known = materialize(known, "families")
-    split = known.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    rows = known.join(split.select("family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "family").join(sketches, "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    place = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "component", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "sketch")
-    more = place.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_blocks(num, den), "a long, b long").distinct()
-    more = materialize(more, "pairs")
-    return found.unionByName(materialize(verified(more), "found"))
+    for turn in (*range(TURNS), None):
+        known = shared.join(components(found), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        # Keys of two classes are settled; those in one component need nothing more.
+        least = 2 if turn is None else LARGE
+        split = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi AND size > {least}")
+        rows = known.join(split.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").join(sketches, "node")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+        place = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "component", side.alias("side"), "sketch")
+        more = place.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(num, den, turn), "a long, b long").distinct()
+        more = materialize(more, "pairs")
+        if more.isEmpty():
+            continue
+        found = materialize(found.unionByName(verified(more)), "found")
+    return found
 
 
 def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; similarity num / den or more links."""
     ship(docs.sparkSession)
-    rows = materialize(classes(docs, k, num, den), "classes")
-    found = links(docs, k, num, den)
+    rows = materialize(classes(docs, k), "classes")
+    found = links(docs, rows, k, num, den)
     if found is None:
         return rows.select("doc_id", "n_shingles", F.col("node").alias("component_id"))
     return rows.join(components(found), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
