@@ -32,8 +32,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The setting for the bytes of an Arrow batch, Spark's own value, and ours: large batches of texts fill
+#: the memory beside the heap.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors this package, once per application."""
+    """Give the executors this package, once per application, and have texts sent to Python in
+    batches of a few MB, unless the session says otherwise."""
+    name, usual, ours = BATCH
+    if spark.conf.get(name) == usual:
+        spark.conf.set(name, ours)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]

@@ -16,7 +16,7 @@ import numpy as np
 
 from vectide.llm.textvec import LOWER, Powers, mix, spans
 
-LIMIT = 2_500_000
+LIMIT = 1_200_000
 
 #: White space, or a control character that some patterns count as such.
 _SPACE = np.zeros(256, bool)
@@ -86,9 +86,9 @@ class Encoder:
 
     def clear(self):
         self.keys = np.zeros(0, np.uint64)
-        self.slot = np.zeros(0, np.int64)
+        self.slot = np.zeros(0, np.int32)
         self.flat = np.zeros(1 << 16, np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.at = np.zeros(1 << 16, np.int64)
+        self.at = np.zeros(1 << 16, np.int32)
         self.n = self.used = 0
 
     def _learn(self, new: list[str]) -> np.ndarray:
@@ -101,7 +101,7 @@ class Encoder:
             self.at = np.concatenate((self.at, np.zeros_like(self.at)))
         self.flat[self.used : self.used + total] = [x for e in ids for x in e]
         self.at[self.n + 1 : self.n + 1 + len(ids)] = self.used + np.cumsum(size)
-        slots = np.arange(self.n, self.n + len(ids))
+        slots = np.arange(self.n, self.n + len(ids), dtype=np.int32)
         self.n += len(ids)
         self.used += total
         return slots
@@ -130,7 +130,7 @@ class Encoder:
             self.slot = np.insert(self.slot, place[new], slots)
             place = np.searchsorted(self.keys, u)
         chunk = self.slot[place][which] if len(u) else np.zeros(0, np.int64)
-        begin = self.at[chunk]
+        begin = self.at[chunk].astype(np.int64)
         size = self.at[chunk + 1] - begin
         ends = np.concatenate(([0], np.cumsum(size)))
         return self.flat[spans(begin, size)].astype(np.uint32), ends[np.searchsorted(start, bounds)]
