@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from vectide.llm.scratch import materialize
 
+PART = 100_000
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -34,7 +36,8 @@ def components(links: DataFrame) -> DataFrame:
     now = materialize(links.select("a", "b").where("a <> b").distinct(), "links")
     state = _state(now)
     while state[0]:
-        now = materialize(_small_star(_large_star(now)), "links")
+        # A file for every PART links, however many partitions the session has: the links never become more.
+        now = materialize(_small_star(_large_star(now)).coalesce(1 + state[0] // PART), "links")
         after = _state(now)
         if after == state:
             break
