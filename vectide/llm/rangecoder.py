@@ -5,7 +5,7 @@ name the id that last followed the same two ids, or the same one (hashed tables
 confidence of 0 to 3); order 0 gives every id its frequency in the block up to the last
 power of two. An adaptive mixture, one for each pair of confidences, weighs order 2,
 order 1, order 0 and a uniform distribution over the vocabulary by how often each of
-them was the first to be right; the id is coded by a 64-bit range coder with the
+them was the first to be right; the id is coded by a range coder of 48 bits with the
 weight of that model times its share within the model.
 
 Blocks are coded side by side, one numpy lane for each, so a step costs the same few array
@@ -21,210 +21,279 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
-LANES = 1024
+LANES = 2048
 _HEAD = struct.Struct("<4sIIIII")  # magic, steps, ids, crc32 of the ids, vocabulary, words
-_MAGIC = b"vrc1"
-_U = np.uint64
-_LOW = _U(1 << 32)
+_MAGIC = b"vrc2"
 _BITS1, _BITS2 = 12, 13
 _FIRST = 32  # the first step at which order 0 speaks
-_GAIN, _MOST = 24, 4096
+_GAIN, _MOST, _EVERY = 24.0, 4096.0, 64
+#: The interval has 48 bits and is never below 32; words of 16 go out. All of it is exact in doubles:
+#: a quotient by a total below 2**16 cannot round up to the next integer.
+_FULL, _LOW, _WORD = float(1 << 48), float(1 << 32), float(1 << 16)
 
 
 class Model:
-    """The state of all lanes; ``predict`` and ``update`` are the same for both directions."""
+    """The state of all lanes; ``predict`` and ``update`` are the same for both directions.
+
+    An entry of a table is the id that came last, shifted by two, and its confidence."""
 
     def __init__(self, lanes: int):
-        self.last1 = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
+        self.lanes = lanes
+        self.last = np.zeros(lanes, np.uint32)
+        self.before = np.zeros(lanes, np.uint32)  # the id before the last, hashed
         self.t1 = np.zeros(lanes << _BITS1, np.uint32)
         self.t2 = np.zeros(lanes << _BITS2, np.uint32)
         self.base1 = np.arange(lanes, dtype=np.int64) << _BITS1
         self.base2 = np.arange(lanes, dtype=np.int64) << _BITS2
         self.base = np.arange(lanes, dtype=np.int64) << 4
-        weights = np.empty((16, 4), np.int64)
-        for c2 in range(4):
-            for c1 in range(4):
-                weights[c2 * 4 + c1] = (1 + 40 * c2, 1 + 20 * c1, 60, 40)
-        self.weights = np.tile(weights, (lanes, 1))
+        self.lane = np.arange(lanes, dtype=np.int64)
+        start = np.array([[(1 + 40 * (k >> 2), 1 + 20 * (k & 3), 60, 40)[m] for k in range(16)] for m in range(4)], float)
+        self.weights = np.tile(start, (1, lanes))  # (model, lane and confidences)
+        self.flat = self.weights.reshape(-1)
+        self.h, self.w = np.empty(lanes, np.uint32), np.empty((4, lanes))
+        self.i1, self.i2, self.ctx = (np.empty(lanes, np.int64) for _ in range(3))
+        self.e1, self.e2, self.p1, self.p2 = (np.empty(lanes, np.uint32) for _ in range(4))
+        self.steps = 0
 
     def predict(self):
-        self.i1 = self.base1 + ((self.last1 * 0x9E3779B1 >> 7) & ((1 << _BITS1) - 1))
-        self.i2 = self.base2 + ((self.last1 * 0x85EBCA6B + self.last2 * 0xC2B2AE35 >> 9) & ((1 << _BITS2) - 1))
-        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
-        self.p1, self.p2 = (self.e1 & np.uint32(0xFFFFF)).astype(np.int64), (self.e2 & np.uint32(0xFFFFF)).astype(np.int64)
-        self.ctx = self.base + ((self.e2 >> np.uint32(20)) * np.uint32(4) + (self.e1 >> np.uint32(20)))
-        self.w = self.weights[self.ctx]
-        return self.w
-
-    def update(self, ids: np.ndarray, outcome: np.ndarray):
-        flat = self.weights.reshape(-1)
-        flat[self.ctx * 4 + outcome] += _GAIN
-        full = np.flatnonzero(self.w.sum(1) > _MOST)
-        if len(full):
-            rows = self.ctx[full]
-            self.weights[rows] = (self.weights[rows] >> 1) + 1
-        new = ids.astype(np.uint32) | np.uint32(1 << 20)
-        top = np.uint32(3 << 20)
-        self.t1[self.i1] = np.where(self.p1 == ids, np.where(self.e1 < top, self.e1 + np.uint32(1 << 20), self.e1), new)
-        self.t2[self.i2] = np.where(self.p2 == ids, np.where(self.e2 < top, self.e2 + np.uint32(1 << 20), self.e2), new)
-        self.last2, self.last1 = self.last1, ids
-
-
-def _runs(seen: np.ndarray, lane: np.ndarray):
-    """Lane by lane the sorted ids so far (lane in the high bits), and of each place
-    where the run of its id begins in the lane and how long it is."""
-    flat = np.sort(seen.T + (lane << 20)[:, None], axis=1).reshape(-1)
-    edge = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    length = np.diff(np.append(edge, len(flat)))
-    return flat, np.repeat(edge, length) - np.repeat(lane * len(seen), len(seen)), np.repeat(length, length)
+        """Fills p1, p2 and the cumulative weights ``ends`` of the four models; returns ``ends``."""
+        h = self.h
+        np.multiply(self.last, np.uint32(0x9E3779B1), out=h)
+        np.right_shift(h, np.uint32(32 - _BITS1), out=h)
+        np.add(h, self.base1, out=self.i1)
+        np.multiply(self.last, np.uint32(0x85EBCA6B), out=h)
+        np.add(h, self.before, out=h)
+        np.right_shift(h, np.uint32(32 - _BITS2), out=h)
+        np.add(h, self.base2, out=self.i2)
+        self.t1.take(self.i1, out=self.e1, mode="clip")
+        self.t2.take(self.i2, out=self.e2, mode="clip")
+        np.bitwise_and(self.e2, np.uint32(3), out=h)
+        np.left_shift(h, np.uint32(2), out=h)
+        np.bitwise_and(self.e1, np.uint32(3), out=self.p1)
+        np.bitwise_or(h, self.p1, out=h)
+        np.add(h, self.base, out=self.ctx)
+        np.right_shift(self.e1, np.uint32(2), out=self.p1)
+        np.right_shift(self.e2, np.uint32(2), out=self.p2)
+        w = self.weights.take(self.ctx, axis=1, mode="clip")
+        np.add(w[1], w[0], out=w[1])
+        np.add(w[2], w[1], out=w[2])
+        np.add(w[3], w[2], out=w[3])
+        self.ends = w
+        return w
+
+    def pick(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the weight of each lane's outcome begins, and how large it is."""
+        at = outcome * self.lanes
+        at += self.lane
+        end = self.ends.reshape(-1).take(at)
+        self.place = outcome * (16 * self.lanes)
+        self.place += self.ctx
+        share = self.flat.take(self.place)
+        return end - share, share
+
+    def update(self, ids: np.ndarray, share: np.ndarray):
+        """ids: what came; share: the weight of its outcome, from ``pick``."""
+        self.flat[self.place] = share + _GAIN
+        self.steps += 1
+        if self.steps % _EVERY == 0:
+            full = np.flatnonzero(self.weights.sum(0) > _MOST)
+            if len(full):
+                self.weights[:, full] = np.floor(self.weights[:, full] / 2) + 1
+        new = (ids << np.uint32(2)) | np.uint32(1)
+        for table, at, e, p in ((self.t1, self.i1, self.e1, self.p1), (self.t2, self.i2, self.e2, self.p2)):
+            more = np.minimum(e + np.uint32(1), e | np.uint32(3))
+            table[at] = np.where(p == ids, more, new)
+        np.multiply(self.last, np.uint32(0xC2B2AE35), out=self.before)
+        self.last = ids
+
+
+def _runs(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the ids so far, (lanes, steps): sorted in each lane; in one row, of the place where
+    each run of an id begins, the place in its lane and the length."""
+    rows = np.sort(seen, axis=1)
+    new = np.ones(rows.shape, bool)
+    np.not_equal(rows[:, 1:], rows[:, :-1], out=new[:, 1:])
+    edge = np.flatnonzero(new)
+    return rows, edge, np.diff(np.append(edge, rows.size))
 
 
 def _encode(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
-    """ids: (steps, lanes). The words of each lane."""
-    steps, lanes = ids.shape
+    """ids: (lanes, steps). The words of each lane."""
+    lanes, steps = ids.shape
     model, lane = Model(lanes), np.arange(lanes)
-    low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    out = np.zeros((lanes, steps + 4), np.uint32)
-    pos = np.zeros(lanes, np.int64)
-    begin = size = None
+    low, span = np.zeros(lanes), np.full(lanes, _FULL)
+    wide = 2 * steps + 8
+    out = np.zeros(lanes * wide, np.uint16)
+    pos = lane * wide
+    across = np.ascontiguousarray(ids.T)
+    table = np.zeros(vocabulary, np.uint32)
+    known = np.zeros((0, lanes), np.uint32)  # first place << 16 | count, by order 0
     seen = 0
     for t in range(steps):
         if t >= _FIRST and t & (t - 1) == 0:
             seen = t
-            rows = ids[t : 2 * t] + (lane << 20)
-            flat, first, count = _runs(ids[:t], lane)
-            begin = np.searchsorted(flat, rows.T.reshape(-1)).reshape(lanes, -1).T
-            at = np.minimum(begin, len(flat) - 1)
-            size = np.where(flat[at] == rows, count[at], 0)
-            begin = first[at]
-        now = ids[t]
-        w = model.predict()
-        known = size[t - seen] if seen else np.zeros(lanes, np.int64)
-        outcome = np.where(now == model.p2, 0, np.where(now == model.p1, 1, np.where(known > 0, 2, 3)))
-        ends = np.cumsum(w, axis=1)
-        share = w[lane, outcome]
-        cum = ends[lane, outcome] - share
-        r = span // ends[:, 3].astype(_U)
-        add = r * cum.astype(_U)
-        span = r * share.astype(_U)
-        if seen:
-            of = np.array([1, 1, seen, vocabulary])[outcome]
-            r = span // of.astype(_U)
-            add += r * np.where(outcome == 2, begin[t - seen], np.where(outcome == 3, now, 0)).astype(_U)
-            span = r * np.where(outcome == 2, known, 1).astype(_U)
-        else:
-            r = span // np.where(outcome == 3, vocabulary, 1).astype(_U)
-            add += r * np.where(outcome == 3, now, 0).astype(_U)
-            span = r
-        low = low + add
-        _carry(out, pos, np.flatnonzero(low < add))
-        small = np.flatnonzero(span < _LOW)
-        if len(small):
-            out[small, pos[small]] = (low[small] >> _U(32)).astype(np.uint32)
-            pos[small] += 1
-            low[small] <<= _U(32)
-            span[small] <<= _U(32)
-        model.update(now, outcome)
-    for shift in (32, 0):
-        out[lane, pos] = (low >> _U(shift)).astype(np.uint32)
+            rows, edge, length = _runs(ids[:, :t])
+            value = (edge % t).astype(np.uint32) << np.uint32(16) | length.astype(np.uint32)
+            which = rows.reshape(-1)[edge]
+            cut = np.searchsorted(edge, np.arange(lanes + 1) * t).tolist()
+            found = np.empty((lanes, min(t, steps - t)), np.uint32)
+            for k in range(lanes):
+                own = which[cut[k] : cut[k + 1]]
+                table[own] = value[cut[k] : cut[k + 1]]
+                table.take(ids[k, t : 2 * t], out=found[k], mode="clip")
+                table[own] = 0
+            known = np.ascontiguousarray(found.T)
+        now = across[t]
+        ends = model.predict()
+        facts = known[t - seen] if seen else np.zeros(lanes, np.uint32)
+        outcome = np.where(facts > 0, 2, 3)
+        outcome[now == model.p1] = 1
+        outcome[now == model.p2] = 0
+        start, share = model.pick(outcome)
+        r = np.floor(span / ends[3])
+        low += r * start
+        span = r * share
+        at = np.flatnonzero(outcome == 2)
+        if len(at):
+            f = facts[at]
+            r = np.floor(span[at] / seen)
+            low[at] += r * (f >> np.uint32(16))
+            span[at] = r * (f & np.uint32(0xFFFF))
+        at = np.flatnonzero(outcome == 3)
+        if len(at):
+            r = np.floor(span[at] / vocabulary)
+            low[at] += r * now[at]
+            span[at] = r
+        over = np.flatnonzero(low >= _FULL)
+        if len(over):
+            low[over] -= _FULL
+            _carry(out, pos[over] - 1)
+        at = np.flatnonzero(span < _LOW)
+        while len(at):
+            top = np.floor(low[at] / _LOW)
+            out[pos[at]] = top
+            pos[at] += 1
+            low[at] = (low[at] - top * _LOW) * _WORD
+            span[at] *= _WORD
+            at = at[span[at] < _LOW]
+        model.update(now, share)
+    for _ in range(3):
+        top = np.floor(low / _LOW)
+        out[pos] = top
         pos += 1
-    return [out[k, : pos[k]] for k in range(lanes)]
+        low = (low - top * _LOW) * _WORD
+    return [out[k * wide : pos[k]] for k in range(lanes)]
 
 
-def _carry(out: np.ndarray, pos: np.ndarray, over: np.ndarray):
-    back = 1
-    while len(over):
-        at = pos[over] - back
-        out[over, at] += np.uint32(1)
-        over = over[out[over, at] == 0]
-        back += 1
+def _carry(out: np.ndarray, at: np.ndarray):
+    while len(at):
+        out[at] += np.uint16(1)
+        at = at[out[at] == 0] - 1
 
 
 def _decode(words: list[np.ndarray], steps: int, vocabulary: int) -> np.ndarray:
+    """The ids, (lanes, steps)."""
     lanes = len(words)
     model, lane = Model(lanes), np.arange(lanes)
-    table = np.zeros((lanes, max(map(len, words)) + 2), _U)
-    for k, x in enumerate(words):
-        table[k, : len(x)] = x
-    x = (table[:, 0] << _U(32)) | table[:, 1]
-    pos = np.full(lanes, 2, np.int64)
-    span = np.full(lanes, (1 << 64) - 1, _U)
-    ids = np.zeros((steps, lanes), np.int64)
-    hist = first = count = np.zeros(1, np.int64)
-    base = np.zeros(lanes, np.int64)
+    size = np.array([len(x) for x in words])
+    table = np.concatenate([*words, np.zeros(4, "<u2")]).astype(float)
+    pos = np.cumsum(size) - size
+    x = (table[pos] * _WORD + table[pos + 1]) * _WORD + table[pos + 2]
+    pos += 3
+    span = np.full(lanes, _FULL)
+    ids = np.zeros((steps, lanes), np.uint32)
+    hist = np.zeros(0, np.uint64)  # id << 32 | first place << 16 | count
     seen = 0
     for t in range(steps):
         if t >= _FIRST and t & (t - 1) == 0:
             seen = t
-            base = lane * t
-            hist, first, count = _runs(ids[:t], lane)
-            hist = hist & ((1 << 20) - 1)
-        w = model.predict()
-        ends = np.cumsum(w, axis=1)
-        r = span // ends[:, 3].astype(_U)
-        v = (x // r).astype(np.int64)
-        outcome = np.minimum((v[:, None] >= ends).sum(1), 3)
-        share = w[lane, outcome]
-        x = x - r * (ends[lane, outcome] - share).astype(_U)
-        span = r * share.astype(_U)
-        of = np.array([1, 1, max(seen, 1), vocabulary])[outcome]
-        r = span // of.astype(_U)
-        slot = np.minimum((x // r).astype(np.int64), of - 1)
-        by_count = outcome == 2
-        at = base + np.where(by_count, slot, 0)
-        now = np.where(outcome == 0, model.p2, np.where(outcome == 1, model.p1, np.where(by_count, hist[at], slot)))
-        x = x - r * np.where(by_count, first[at], slot).astype(_U)
-        span = r * np.where(by_count, count[at], 1).astype(_U)
-        small = np.flatnonzero(span < _LOW)
-        if len(small):
-            x[small] = (x[small] << _U(32)) | table[small, np.minimum(pos[small], table.shape[1] - 1)]
-            pos[small] += 1
-            span[small] <<= _U(32)
-        model.update(now, outcome)
+            rows, edge, length = _runs(np.ascontiguousarray(ids[:t].T))
+            value = (edge % t).astype(np.uint64) << np.uint64(16) | length.astype(np.uint64)
+            hist = np.repeat(value, length)
+            hist |= rows.reshape(-1).astype(np.uint64) << np.uint64(32)
+        ends = model.predict()
+        r = np.floor(span / ends[3])
+        outcome = (x >= r * ends[0]).astype(np.int64)
+        outcome += x >= r * ends[1]
+        outcome += x >= r * ends[2]
+        start, share = model.pick(outcome)
+        x -= r * start
+        span = r * share
+        now = np.where(outcome == 0, model.p2, model.p1)
+        at = np.flatnonzero(outcome == 2)
+        if len(at):
+            r = np.floor(span[at] / max(seen, 1))
+            slot = _slot(x[at], r)
+            f = hist.take(at * seen + slot.astype(np.int64), mode="clip") if seen else np.zeros(len(at), np.uint64)
+            now[at] = f >> np.uint64(32)
+            x[at] -= r * ((f >> np.uint64(16)) & np.uint64(0xFFFF))
+            span[at] = r * (f & np.uint64(0xFFFF))
+        at = np.flatnonzero(outcome == 3)
+        if len(at):
+            r = np.floor(span[at] / vocabulary)
+            slot = _slot(x[at], r)
+            now[at] = np.minimum(slot, vocabulary - 1)
+            x[at] -= r * slot
+            span[at] = r
+        at = np.flatnonzero(span < _LOW)
+        while len(at):
+            if span[at].min() < 1:
+                raise ValueError("a block is not what was written")
+            x[at] = x[at] * _WORD + table.take(pos[at], mode="clip")
+            pos[at] += 1
+            span[at] *= _WORD
+            at = at[span[at] < _LOW]
+        model.update(now, share)
         ids[t] = now
-    return ids
+    return ids.T
+
+
+def _slot(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """x // r: a quotient that rounded up to an integer is set back."""
+    slot = np.floor(x / r)
+    slot -= r * slot > x
+    return np.maximum(slot, 0)
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[bytes]:
-    """The blocks of a row of ids below ``vocabulary`` (2**20 at most), ``block`` ids in each but the last."""
+    """The blocks of a row of ids below ``vocabulary`` (2**16 at most), ``block`` ids in each but the last."""
     if not len(ids):
         return []
-    if int(ids.max()) >= vocabulary or vocabulary > 1 << 20:
+    if int(ids.max()) >= vocabulary or vocabulary > 1 << 16:
         raise ValueError("an id is not below the vocabulary's size")
     n = -(-len(ids) // block)
     steps = min(block, len(ids))
-    padded = np.full(n * steps, ids[-1], np.int64)
+    padded = np.full(n * steps, ids[-1], np.uint32)
     padded[: len(ids)] = ids
     grid = padded.reshape(n, steps)
     lots = -(-n // LANES)
     out = []
     for lot in np.array_split(np.arange(n), lots):
-        for k, words in zip(lot, _encode(np.ascontiguousarray(grid[lot].T), vocabulary), strict=True):
+        for k, words in zip(lot, _encode(grid[lot], vocabulary), strict=True):
             real = ids[k * steps : (k + 1) * steps].astype("<u4")
-            out.append(_HEAD.pack(_MAGIC, steps, len(real), zlib.crc32(real.tobytes()), vocabulary, len(words)) + words.astype("<u4").tobytes())
+            out.append(_HEAD.pack(_MAGIC, steps, len(real), zlib.crc32(real.tobytes()), vocabulary, len(words)) + words.astype("<u2").tobytes())
     return out
 
 
 def block_size(image: bytes, at: int = 0) -> int:
     """The bytes of the block that begins at ``at``."""
-    return _HEAD.size + 4 * _HEAD.unpack_from(image, at)[5]
+    return _HEAD.size + 2 * _HEAD.unpack_from(image, at)[5]
 
 
 def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     """The ids of blocks, end to end. ValueError where a block is not what was written."""
     heads = []
     for b in blocks:
-        if len(b) < _HEAD.size or (h := _HEAD.unpack_from(b))[0] != _MAGIC or len(b) != _HEAD.size + 4 * h[5] or h[2] > h[1] or h[5] < 2:
+        if len(b) < _HEAD.size or (h := _HEAD.unpack_from(b))[0] != _MAGIC or len(b) != _HEAD.size + 2 * h[5] or h[2] > h[1] or h[5] < 3:
             raise ValueError("not a block of ids")
         heads.append(h)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     for kind in {(h[1], h[4]) for h in heads}:
         alike = [k for k, h in enumerate(heads) if (h[1], h[4]) == kind]
         for lot in np.array_split(alike, -(-len(alike) // LANES)):
-            ids = _decode([np.frombuffer(blocks[k], "<u4", heads[k][5], _HEAD.size) for k in lot], *kind)
+            ids = _decode([np.frombuffer(blocks[k], "<u2", heads[k][5], _HEAD.size) for k in lot], *kind)
             for lane, k in enumerate(lot):
-                own = ids[: heads[k][2], lane].astype("<u4")
+                own = ids[lane, : heads[k][2]].astype("<u4")
                 if zlib.crc32(own.tobytes()) != heads[k][3]:
                     raise ValueError("a block's checksum differs")
                 out[k] = own
