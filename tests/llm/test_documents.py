@@ -104,6 +104,23 @@ def test_mixing_solver_reaches_the_least_squares_solution(spark):
     assert np.allclose((r * n) @ p, reached) and np.abs(reached - goal).max() < 10 and (r >= 0).all()
 
 
+def test_copies_of_small_rates_are_drawn(spark):
+    for rate in (0.014, 0.05, 0.96, 1.04, 2.97):
+        n = spark.range(40000).select(F.lit(rate).alias("rate"), F.col("id").alias("doc_id")).agg(F.avg(mixing.copies(F.col("rate")))).first()[0]
+        assert abs(n - rate) < 0.003
+
+
+def test_mixed_tokens_meet_small_targets(spark):
+    rng = random.Random(5)
+    rows = [(i, k, " ".join(f"{'clean' if k else 'low'}{rng.randrange(40)}" for _ in range(60))) for i in range(12000) for k in [int(i % 3 > 0)]]
+    docs = spark.createDataFrame(rows, "doc_id long, k long, text string").repartition(4).cache()
+    marks = docs.select("doc_id", F.when(F.col("k") == 0, "low").otherwise("clean").alias("domain"))
+    mixed = {r.k: r["count"] for r in mixing.mix(docs, marks, {"clean": 0.99, "low": 0.01}).groupBy("k").count().collect()}
+    p = sum(60 * r.copies * np.array(r.posteriors) for r in mixing.document_rates(docs, marks, {"clean": 0.99, "low": 0.01}).collect())
+    assert abs(p[1] / p.sum() - 0.01) < 0.003
+    assert 0 < mixed[0] < 0.02 * mixed[1] and abs(mixed[1] - 8000) < 200
+
+
 def test_mixing_odd_rows(odd, labels, empty):
     some = labels.select("doc_id", mixing.domain_of().alias("domain"))
     mixed = mixing.mix(odd, some, {"clean": 1.0, "toxic": 0.2})

@@ -10,8 +10,7 @@ of steps, and need no table of their own.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+``. ``total`` is the number of tokens wanted; None asks for
 that at which the first domain of the targets is taken once as a whole. A document is taken floor(rate + u) times, u from a
-hash of its doc_id; a rate within ``SNAP`` of a whole number counts as that number, so that documents are
-neither lost nor repeated for a small correction.
+hash of its doc_id, whatever the rate, so that the copies meet the targets as the rates do, but for the draw.
 
 Defined results: a null text has no tokens and rate by its posteriors like any other; without labels
 every document has equal posteriors; an empty table gives no row; repeated rows have equal rates.
@@ -31,7 +30,6 @@ from vectide.llm.quality import CHAR_BITS, SCALE, WORD_BITS, descend, features,
 from vectide.llm.scratch import materialize, ship, unused
 from vectide.llm.textvec import Words, range_sums, runs, strings
 
-SNAP = 0.05
 DIMS = (1 << WORD_BITS) + (1 << CHAR_BITS)
 
 
@@ -164,9 +162,8 @@ def _plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total:
 
 
 def copies(rate: Column) -> Column:
-    whole = F.round(rate)
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return F.when(F.abs(rate - whole) <= SNAP, whole).otherwise(F.floor(rate + u)).cast("long")
+    return F.floor(rate + u).cast("long")
 
 
 def _fold(steps: list[np.ndarray], k: int):
