@@ -121,6 +121,40 @@ def test_mixed_tokens_meet_small_targets(spark):
     assert 0 < mixed[0] < 0.02 * mixed[1] and abs(mixed[1] - 8000) < 200
 
 
+def sharp(shares, size=6000, seed=1):
+    """Posteriors of a classifier that is sure of most documents, and tokens."""
+    rng = np.random.default_rng(seed)
+    d = rng.choice(len(shares), size, p=shares)
+    z = rng.normal(0, 1, (size, len(shares)))
+    z[np.arange(size), d] += 3.5
+    p = np.exp(2 * z)
+    return np.round(p / p.sum(1, keepdims=True), 6), rng.integers(1, 900, size)
+
+
+@pytest.mark.parametrize("shares, weights", [([0.8, 0.073, 0.127], [0.95, 0.04, 0.01]), ([0.88, 0.12], [0.96, 0.04]), ([0.5, 0.5], [0.96, 0.04]), ([0.6, 0.39, 0.01], [0.3, 0.3, 0.4])])
+def test_mixing_solver_meets_far_targets(spark, shares, weights):
+    p, n = sharp(shares)
+    members = spark.createDataFrame([(int(x), q.tolist()) for x, q in zip(n, p)], "n_tokens long, posteriors array<double>")
+    steps, reached, goal = mixing.solve(members, weights)
+    assert np.abs((mixing.rates(p, steps) * n) @ p - goal).max() <= 1e-4 * goal.sum()
+
+
+def test_mixing_solver_out_of_reach(spark):
+    """The conditions of least squares over rates >= 0 hold where the targets cannot be met."""
+    p, n = sharp([0.5, 0.5], 2000)
+    p = np.round(0.3 + 0.4 * p, 6)
+    members = spark.createDataFrame([(int(x), q.tolist()) for x, q in zip(n, p)], "n_tokens long, posteriors array<double>")
+    steps, reached, goal = mixing.solve(members, [0.99, 0.01], float(n.sum()))
+    r, pull = mixing.rates(p, steps), p @ (reached - goal) / n.sum()
+    assert np.abs(reached - goal).max() > 0.1 * n.sum()
+    assert pull.min() > -1e-4 and np.abs(pull[r > 0]).max() < 1e-4
+
+
+def test_mixing_warns_where_targets_are_out_of_reach(real, labels):
+    with pytest.warns(UserWarning, match="no rates meet"):
+        mixing.query(real, labels.limit(0))
+
+
 def test_mixing_odd_rows(odd, labels, empty):
     some = labels.select("doc_id", mixing.domain_of().alias("domain"))
     mixed = mixing.mix(odd, some, {"clean": 1.0, "toxic": 0.2})

@@ -3,10 +3,11 @@
 A classifier fitted on the labelled table (at most ``sample_rows`` rows, those with the smallest hash of
 doc_id) gives every document posteriors over the domains. The rates minimise the squared distance
 between expected domain totals, sum of rate x tokens x posterior, and the targets over
-rates >= 0, by projected gradient from rate 1. Each step is a pass over all documents that
-returns one sum for each domain; the metric weighs a document by its tokens, in which a step moves
-a document by its posteriors alone. So rates follow from the posteriors and the list
-of steps, and need no table of their own.
+rates >= 0; of the rates that do so, those nearest to 1 are taken, in a metric that weighs a document by its
+tokens. These are max(0, 1 - posteriors x g) for one vector g, which Newton steps find: each is a pass
+over all documents that returns the domain totals and the Gram matrix of the documents with a
+positive rate. So rates follow from the posteriors and g, and need no table of their own. Where no rates
+meet the targets within ``near`` a warning tells the totals that were reached; a search that does not end raises.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+``. ``total`` is the number of tokens wanted; None asks for
 that at which the first domain of the targets is taken once as a whole. A document is taken floor(rate + u) times, u from a
@@ -18,6 +19,7 @@ every document has equal posteriors; an empty table gives no row; repeated rows
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +32,10 @@ from vectide.llm.quality import CHAR_BITS, SCALE, WORD_BITS, descend, features,
 from vectide.llm.scratch import materialize, ship, unused
 from vectide.llm.textvec import Words, range_sums, runs, strings
 
+#: Difference of totals to targets that counts as met, as a share of all tokens.
+NEAR = 1e-4
+#: Weight of the least change of rates beside the squared distance, as a share of all tokens.
+PULL = 1e-9
 DIMS = (1 << WORD_BITS) + (1 << CHAR_BITS)
 
 
@@ -74,11 +80,11 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], sample_rows: int
 
 
 def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """The rates after the steps taken so far: each moves by the posteriors and stays at 0 or above."""
+    """The rates after the steps: each moves by the posteriors and stays at 0 or above."""
     r = np.ones(len(p))
     for g in steps:
         r = np.maximum(0.0, r - p @ g)
-    return np.round(r, 6)
+    return np.round(r, 9)
 
 
 def _members(model: Classifier):
@@ -103,23 +109,17 @@ def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
 
 
 def _sums(steps: list[np.ndarray], k: int):
-    def run(batches):
-        total = np.zeros(k)
-        for batch in batches:
-            p = _matrix(batch, k)
-            total += (rates(p, steps) * batch.column("n_tokens").to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(total)], names=["domain", "total"])
-
-    return run
-
+    """Domain totals, the Gram matrix of the documents with a positive rate, the squared rates."""
 
-def _gram(k: int):
     def run(batches):
-        total = np.zeros((k, k))
+        total = np.zeros(k + k * k + 1)
         for batch in batches:
-            p = _matrix(batch, k)
-            total += (p * batch.column("n_tokens").to_numpy()[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total.reshape(-1))], names=["domain", "total"])
+            p, n = _matrix(batch, k), batch.column("n_tokens").to_numpy()
+            r = rates(p, steps)
+            total[:k] += (r * n) @ p
+            total[k:-1] += ((p * (n * (r > 0))[:, None]).T @ p).reshape(-1)
+            total[-1] += (r * r) @ n
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["domain", "total"])
 
     return run
 
@@ -132,24 +132,50 @@ def _over_all(members: DataFrame, run, n: int) -> np.ndarray:
     return out
 
 
-def solve(members: DataFrame, weights: list[float], total: float | None = None, rounds: int = 40, near: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Steps, expected domain totals after them, and the targets."""
+def solve(members: DataFrame, weights: list[float], total: float | None = None, rounds: int = 100, near: float = NEAR) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Steps, expected domain totals after them, and the targets. The steps are one at most: Newton steps with halving
+    on the dual of the least change of rates; ``PULL`` makes it that of the least squares where no rates meet the targets."""
     k = len(weights)
-    gram = _over_all(members, _gram(k), k * k).reshape(k, k)
-    mass = np.maximum(gram.sum(1), 1e-9)
+
+    def at(g):
+        x = _over_all(members, _sums([g], k), k + k * k + 1)
+        return x[:k], x[k:-1].reshape(k, k), x[-1]
+
+    g = np.zeros(k)
+    reached, gram, squares = at(g)
+    mass = float(reached.sum())
     share = np.array(weights, float) / sum(weights)
     if total is None:
-        total = float(mass[0] / max(share[0], 1e-12)) if gram.sum() > 0 else 0.0
+        total = float(max(reached[0], 1e-9) / max(share[0], 1e-12)) if mass > 0 else 0.0
     goal = share * total
-    steps: list[np.ndarray] = []
-    reached = gram.sum(1)
-    scale = np.linalg.eigvalsh(gram / np.sqrt(mass[:, None] * mass[None, :]))[-1]
+    if mass <= 0:
+        return [], reached, goal
+    pull = PULL * mass
+
+    def height(g, squares):
+        return (squares / 2 + goal @ g + pull * (g @ g) / 2) / mass
+
     for _ in range(rounds):
-        if np.abs(reached - goal).max() <= near * max(total, 1.0):
+        slope = goal - reached + pull * g
+        if np.abs(slope).max() <= near / 100 * max(total, 1.0):
+            break
+        move = -np.linalg.solve(gram + pull * np.eye(k), slope)
+        low, length = height(g, squares), 1.0
+        while True:
+            found = at(g + length * move)
+            if height(g + length * move, found[2]) <= low + 1e-4 * length * (slope @ move) / mass + 1e-12 * abs(low):
+                break
+            length /= 2
+            if length < 1e-9:
+                break
+        if length < 1e-9:
             break
-        steps.append((reached - goal) / mass / max(scale, 1e-9))
-        reached = _over_all(members, _sums(steps, k), k)
-    return steps, reached, goal
+        g = g + length * move
+        reached, gram, squares = found
+    left = float(np.abs(goal - reached + pull * g).max())
+    if left > near * max(total, 1.0):
+        raise ArithmeticError(f"mixing: the rates are not found within {rounds} rounds; {left:.6g} tokens are left of {total:.6g}")
+    return ([g] if g.any() else []), reached, goal
 
 
 def _plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None, sample_rows: int):
@@ -157,7 +183,9 @@ def _plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total:
     model = fit(docs, labels, list(targets), sample_rows)
     members = docs.select("doc_id", "text").mapInArrow(_members(model), "doc_id long, n_tokens long, posteriors array<double>")
     members = materialize(members, "members")
-    steps, _, _ = solve(members, list(targets.values()), total)
+    steps, reached, goal = solve(members, list(targets.values()), total)
+    if np.abs(reached - goal).max() > NEAR * max(goal.sum(), 1.0):
+        warnings.warn(f"mixing: no rates meet the targets; tokens {dict(zip(targets, reached.round(1).tolist()))} for {dict(zip(targets, goal.round(1).tolist()))}", stacklevel=3)
     return model, members, steps
 
 
