@@ -176,6 +176,21 @@ def test_licences(spark, odd, empty, real, sf):
     assert sorted(map(tuple, licences.query(real).collect())) == sorted(want)
 
 
+def test_licences_of_the_common_list(spark):
+    from vectide.llm.licence_list import BSD, THIRD, listed
+
+    text = dict(reversed(listed()))
+    mit = licences.KNOWN[2][1].split("\n\n", 1)[1]
+    bsd = BSD.format(third=THIRD.format(name="the copyright holder"), whose="COPYRIGHT HOLDER", who="COPYRIGHT HOLDER")
+    texts = [("MIT", mit), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 Me\n\n" + mit), ("ISC", "ISC License\n\n" + licences.KNOWN[1][1]),
+             ("MIT", "MIT License Copyright (c) 2020 Me " + " ".join(mit.split())), ("BSD-3-Clause", "Copyright (c) 2020, Me All rights reserved. " + " ".join(bsd.split())),
+             ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright 2020 Me\nAll rights reserved.\n\n" + bsd.replace(" copyright", "\ncopyright"))]
+    texts += [(n, text[n]) for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")]
+    texts += [("Apache-2.0", text["Apache-2.0"].split("   APPENDIX")[0]), (None, mit + " and more"), (None, "copyright 2020 me")]
+    got = licences.query(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.license) for r in sorted(got)] == [(i, n) for i, (n, _) in enumerate(texts)]
+
+
 def check_shards(rows, found, shards=40):
     assert sorted((r.doc_id, r.size, r.text_crc32) for r in found if r.doc_id is not None) == sorted((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows if i is not None)
     by = {}

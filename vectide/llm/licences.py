@@ -1,12 +1,13 @@
 """Licence scan by canonical digests: whole texts that are a known licence.
 
-A text is lowered, freed of copyright lines and of punctuation, equivalent spellings are
+A text is lowered, freed of copyright statements and of punctuation, equivalent spellings are
 made one, and its SHA-256 is joined to the digests of known licences, made by the same
 expressions. Nothing is compared beyond the digest.
 
 Defined results: a null or empty text, and one of copyright lines alone, has no digest and no licence;
 where two known texts have one digest the first name counts; repeated rows are joined each. Only
-DataFrame functions are used.
+DataFrame functions are used. ``ORACLE`` holds ``KNOWN`` and drops whole copyright lines; it agrees on texts
+without the word copyright and without one of the further licences.
 """
 
 from __future__ import annotations
@@ -98,12 +99,20 @@ Permission is granted to anyone to use this software for any purpose, including
 
 #: The patterns of both engines, on lowered text.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Copyright statements alone. One that a licence follows in the same line ends where
+#: that begins; a line of the terms that begins with the word, as "copyright notice", is none.
+OPENING = r"(?:permission is hereby granted|permission to use|redistribution and use|this software is provided|everyone is permitted|licensed under|released under|this work is licensed)"
+STATEMENT = r"(?:copyright[ \t]*(?:\(c\)|©|\d{4})|\(c\)[ \t]*\d{4}|©)[^\n]{0,300}?(?=\b" + OPENING + r"\b)"
+TERMS = r"(?:notices?|holders?|owners?|licen[sc]es?|laws?|treat(?:y|ies)|interests?|rights?|statements?|disclaimers?|protection|permission|status|control|and|or|in|on|is|of|to|for|the (?:software|library))\b"
+STATEMENT_LINE = r"(?m)^[ \t]*(copyright(?![ \t]+" + TERMS + r")|\(c\)(?=[ \t]*(?:copyright|©|\d|\[y|$))|©|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
     """The words that count, each between spaces of its own; null where there is none."""
-    t = F.regexp_replace(F.lower(F.replace(text, F.lit("\r"), F.lit(""))), COPYRIGHT_LINE, "")
+    t = F.lower(F.replace(text, F.lit("\r"), F.lit("")))
+    stated = F.regexp_replace(F.regexp_replace(t, STATEMENT, " "), STATEMENT_LINE, "")
+    t = F.when(t.contains("copyright") | t.contains("©") | t.contains("(c)"), stated).otherwise(F.regexp_replace(t, COPYRIGHT_LINE, ""))
     t = F.concat(F.lit("  "), F.regexp_replace(t, NOT_WORD, "  "), F.lit("  "))
     for a, b in EQUIVALENT:
         t = F.replace(t, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
@@ -122,11 +131,13 @@ def known(docs: DataFrame, licences: list[tuple[str, str]]) -> DataFrame:
     return table.select(digest(F.col("text")).alias("digest"), "license").where("digest IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, licences: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """``docs`` with digest and license (null: not a known one). The known list is held in the
-    plan itself, so its side is as small as the list."""
+def scan(docs: DataFrame, licences: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``docs`` with digest and license (null: not a known one), by default of ``licence_list``. The known list is
+    held in the plan itself, so its side is as small as the list."""
+    from vectide.llm.licence_list import listed
+
     own = docs.select(*without(docs.columns, "digest", "license"))
-    return own.withColumn("digest", digest(F.col("text"))).join(F.broadcast(known(docs, licences)), "digest", "left")
+    return own.withColumn("digest", digest(F.col("text"))).join(F.broadcast(known(docs, listed() if licences is None else licences)), "digest", "left")
 
 
 def query(docs: DataFrame) -> DataFrame:
