@@ -111,3 +111,13 @@ def test_linked_sets_share_a_key():
         if 100 * both >= 90 * (len(a) + len(b) - both) and len(np.setxor1d(a, b)):
             bands = g.Bands(90, 100)
             assert np.intersect1d(g.keys_of(a, bands), g.keys_of(b, bands)).size
+
+
+@pytest.mark.parametrize("num", [25, 30, 50, 80])
+def test_sketches_of_all_widths_are_compared(num):
+    rng = np.random.default_rng(2)
+    whole = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+    sets = [np.unique(whole[:n]) for n in (32, 40, 64, 100, 110, 128, 250, 400)]
+    rows = [{"node": i, "n": len(x), "component": i, "side": 2, "sketch": g.parity(x).tobytes()} for i, x in enumerate(sets)]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i]) >= num * len(sets[j])}
+    assert want <= set(g._compare(rows, num, 100))

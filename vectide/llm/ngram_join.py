@@ -292,8 +292,9 @@ def _compare(rows: list[dict], num: int, den: int, turn: int | None = None) -> l
     stack = {w: np.stack([np.frombuffer(r["sketch"], np.uint64) for r in x]) for w, x in own.items()}
     facts = {w: [np.array([r[c] for r in x]) for c in ("n", "component", "node", "side")] for w, x in own.items()}
     for w in own:
-        for v in (w, 2 * w):
-            if v not in own:
+        for v in own:
+            # Widths are powers of two: sizes that can be similar lie less than 2 * den / num widths apart.
+            if not w <= v < 2 * w * den / num:
                 continue
             wide = fold(stack[v], w)
             n, component, node, side = facts[v]
