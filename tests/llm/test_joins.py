@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vectide.llm import ngram_join as g
@@ -118,6 +119,75 @@ def test_sketches_of_all_widths_are_compared(num):
     rng = np.random.default_rng(2)
     whole = rng.integers(1, 1 << 62, 400).astype(np.uint64)
     sets = [np.unique(whole[:n]) for n in (32, 40, 64, 100, 110, 128, 250, 400)]
-    rows = [{"node": i, "n": len(x), "component": i, "side": 2, "sketch": g.parity(x).tobytes()} for i, x in enumerate(sets)]
-    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i]) >= num * len(sets[j])}
-    assert want <= set(g._compare(rows, num, 100))
+    block = g.Block([len(x) for x in sets], range(len(sets)), [2] * len(sets), [g.parity(x) for x in sets], num, 100)
+    ok = block.partners(np.arange(len(sets)))
+    assert all(ok[i, j] for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i]) >= num * len(sets[j]))
+
+
+def test_a_block_gives_the_links_that_join_its_components():
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[int(rng.integers(0, 12)) :], rng.integers(1, 1 << 62, 8).astype(np.uint64)))) for _ in range(60)]
+    sets += [np.unique(rng.integers(1, 1 << 62, 300).astype(np.uint64)) for _ in range(20)]
+    found = g.settle(list(range(80)), list(range(80)), [2] * 80, sets, 90, 100)
+    assert len(found) == 59 and all(g.linked(sets[a], sets[b], 90, 100) for a, b in found)
+    # Against each other only: rows of one side are not compared.
+    apart = g.settle([0, 1, 2], [0, 1, 2], [0, 0, 1], [sets[0], sets[0], sets[70]], 90, 100)
+    assert apart == []
+
+
+def test_shared_classes_over_many_batches():
+    """Whatever the batches, every class of a place with two is told once, with the place's first; salted ones always."""
+    rng = random.Random(6)
+    rows = sorted((p, p * 10, p % 7 == 0, rng.randrange(6)) for p in (rng.randrange(40) for _ in range(300)))
+    want = []
+    for p in sorted({r[0] for r in rows}):
+        own = sorted({r[3] for r in rows if r[0] == p})
+        want += [(p * 10, c, own[0]) for c in own if len(own) > 1 or p % 7 == 0]
+    for size in (1, 2, 3, 50, 1000):
+        batches = [pa.RecordBatch.from_pydict({n: [r[i] for r in rows[k : k + size]] for i, n in enumerate(("place", "key", "salted", "class"))}) for k in range(0, len(rows), size)]
+        told = [tuple(r.values()) for b in g._shared(batches) for r in b.to_pylist()]
+        assert told == want
+
+
+def test_hot_keys_and_classes(spark, monkeypatch):
+    """With the bounds so low that keys are salted, classes broadcast and centres split, the result is the same."""
+    monkeypatch.setattr(g, "HOT", 4)
+    monkeypatch.setattr(g, "PROBE", 1)
+    monkeypatch.setattr(g, "WEIGHT", 2000)
+    rng = random.Random(8)
+    rows = []
+    for family, size in (("a", 60), ("b", 25)):
+        base = [f"{family}{i}" for i in range(120)]
+        for i in range(size):
+            copy = list(base)
+            for j in rng.sample(range(120), rng.choice([0, 0, 1, 2])):
+                copy[j] = f"e{family}{i}n{j}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + i, " ".join(f"z{i}x{j}" for j in range(50))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got(g.query(df)) == brute(rows, 3, 90, 100)
+
+
+A, B = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+
+
+def test_repeated_ids(spark):
+    """Rows that share a doc_id share their links, but each text keeps a like of its own."""
+    rows = [(3, A), (5, A), (5, B), (7, B), (9, ""), (9, A + " tail"), (11, None), (11, "only words here"), (5, B), (None, B), (None, "no id " + A), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(g.similar(df)) == brute(rows, 5, 80, 100)
+    kept = sorted(map(tuple, g.dedupe(df).collect()), key=str)
+    assert kept == sorted([(3, A), (5, B), (9, ""), (11, None), (11, "only words here"), (None, " ")], key=str)
+
+
+def test_dedupe_of_repeated_rows_and_clashing_names(spark):
+    rows = [(1, A, "x", 1), (1, A, "x", 1), (1, A, "w", 2), (2, B, "y", 3), (None, None, None, None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string, _digest long")
+    found = sorted(map(tuple, g.dedupe(df).collect()), key=str)
+    assert len(found) == 3 and found[0][:2] == (1, A) and found[1:] == [(2, B, "y", 3), (None, None, None, None)]
+    assert g.dedupe(df).columns == df.columns
+
+
+def test_dedupe_of_nothing(empty):
+    assert g.dedupe(empty).count() == 0

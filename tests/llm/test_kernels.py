@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vectide.llm.graph import components
+from vectide.llm import graph
 from vectide.llm.ranges import bucket_of, id_bucket
 from vectide.llm.scratch import scratch_root, unused
 from vectide.llm.textvec import Words, runs, segment_sums, spans, strings, windows
@@ -51,8 +51,9 @@ def test_buckets(spark):
     assert spark.range(1).select(id_bucket(F.lit(None).cast("long"), splits)).first()[0] == 4
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed, part", [(0, 500_000), (1, 500_000), (1, 10), (2, 50)])
+def test_components(spark, monkeypatch, seed, part):
+    monkeypatch.setattr(graph, "PART", part)
     rng = random.Random(seed)
     n = 60
     edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(40)] + [(i, i + 1) for i in range(100, 130)]
@@ -67,7 +68,7 @@ def test_components(spark, seed):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
     linked = {v for a, b in edges if a != b for v in (a, b)}
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
     assert got == {v: find(v) for v in linked}
 
 

@@ -1,13 +1,16 @@
-"""Connected components over a table of links, by alternating stars."""
+"""Connected components over a table of links."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.scratch import materialize
+from vectide.llm.scratch import counted
 
-PART = 100_000
+#: So many links a task takes at most.
+PART = 500_000
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -23,22 +26,44 @@ def _small_star(links: DataFrame) -> DataFrame:
     return kept.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).collect()[0])
+def labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some links, ascending, and the smallest node that each is joined to."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label != label[label]).any():
+            label = label[label]
+        if (label[x] == label[y]).all():
+            break
+    return nodes, nodes[label]
+
+
+def _joined(batches):
+    found = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in labels(a, b)], names=["node", "component"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``links`` (a, b): component is its smallest node.
+def components(links: DataFrame, n: int | None = None) -> DataFrame:
+    """(node, component) of every node of ``links`` (a, b) but those that only link to themselves: component is its smallest node.
 
-    Each round maps every neighbourhood onto its smallest member; the rounds needed grow
-    with the logarithm of the longest path. Links are kept in the shared folder between rounds.
+    Links that fit into one task are joined there. More are mapped by alternating stars: each round maps every
+    neighbourhood onto its smallest member; the rounds needed grow with the logarithm of the longest path. Links are
+    kept in the shared folder between rounds. n: the number of links, where it is known.
     """
-    now = materialize(links.select("a", "b").where("a <> b").distinct(), "links")
-    state = _state(now)
+    now = links.select("a", "b").where("a <> b")
+    n = now.count() if n is None else n
+    if n <= PART:
+        return counted(now.coalesce(1).mapInArrow(_joined, "node long, component long"), "components")[0]
+    total = F.bit_xor(F.xxhash64("a", "b"))
+    now, state = counted(now.distinct(), "links", total)
     while state[0]:
         # A file for every PART links, however many partitions the session has: the links never become more.
-        now = materialize(_small_star(_large_star(now)).coalesce(1 + state[0] // PART), "links")
-        after = _state(now)
+        now, after = counted(_small_star(_large_star(now)).coalesce(1 + state[0] // PART), "links", total)
         if after == state:
             break
         state = after
