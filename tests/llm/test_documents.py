@@ -74,6 +74,74 @@ def test_features_of_a_text_do_not_depend_on_its_neighbours():
     assert sparse(texts) == [sparse([t])[0] for t in texts] == sparse(texts[::-1])[::-1]
 
 
+M64 = (1 << 64) - 1
+
+
+def mixed(x):
+    x ^= x >> 31
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 29
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ x >> 32
+
+
+def hashed(word):
+    """The polynomial hash of a word's bytes, one by one."""
+    h = sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(word.encode()))
+    return mixed((h + len(word.encode())) & M64)
+
+
+def plain_score(model, text):
+    """The model's probability from words, pairs and 3-grams taken one at a time."""
+    words = [hashed(w) for w in WORD.findall(text)]
+    pairs = [mixed((a * 0xD6E8FEB86659FD93 + b) & M64) for a, b in zip(words, words[1:])]
+    code = [int.from_bytes(c.encode(), "little") for c in text + " "]
+    grams = [mixed(((a * 0x9E3779B97F4A7C15 + b) * 0xD6E8FEB86659FD93 + c) & M64) for a, b, c in zip(code, code[1:], code[2:])]
+    z, base = model.bias, 0
+    for items, bits in ((words, quality.WORD_BITS), (pairs, quality.PAIR_BITS), (grams, quality.CHAR_BITS)):
+        z += quality.SCALE * sum(float(model.weights[base + (h >> 64 - bits)]) for h in items) / max(1, len(items))
+        base += 1 << bits
+    return 1 / (1 + np.exp(-np.clip(model.slope * z + model.shift, -500, 500)))
+
+
+def test_quality_verdicts_against_a_plain_scorer(odd, odd_rows, real, labels):
+    model = quality.fit(real, labels)
+    for df, rows in ((odd, odd_rows), (real.limit(60), [(r.doc_id, r.text) for r in real.limit(60).collect()])):
+        want = sorted(((i, round(plain_score(model, t or ""), 6), not base_figures(t)[-1] and plain_score(model, t or "") >= 0.5) for i, t in rows), key=str)
+        got = sorted(((r.doc_id, round(r.p_quality, 6), r.kept) for r in quality.score(df, model).collect()), key=str)
+        assert got == want
+
+
+def test_quality_model_is_repeatable_and_its_sample_bounded(spark, real, labels):
+    """Labels that disagree are left out, of two texts of an id one is used, whatever the order of rows."""
+    docs = real.select("doc_id", "text")
+    torn = labels.limit(5).withColumn("quality", 1 - F.col("quality"))
+    more = docs.unionByName(docs.limit(30).withColumn("text", F.concat("text", F.lit(" tail"))))
+    first = quality.fit(more.repartition(3), labels.unionByName(torn))
+    again = quality.fit(more.orderBy(F.desc("doc_id")).repartition(7), torn.unionByName(labels).repartition(2))
+    assert (first.weights == again.weights).all() and (first.bias, first.slope, first.shift) == (again.bias, again.slope, again.shift)
+    ids = {r.doc_id for r in torn.collect()}
+    assert not ids & {r.doc_id for r in quality.labelled_sample(more, labels.unionByName(torn), "quality", 3000)}
+    few = quality.labelled_sample(docs, labels, "quality", 3000, 20000)
+    assert 0 < sum(len(r["index"]) * 2 for r in few) <= 20000 and len(few) < labels.count()
+    assert len(quality.labelled_sample(docs, labels, "quality", 7)) == 7
+
+
+@pytest.mark.parametrize("n", [2, 3, 9])
+def test_quality_with_few_labels(spark, n):
+    rows = [(i, ("good plain text " if i % 2 else "### junk $$$ ") * 8, i % 2) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(docs, docs)
+    assert 0 < model.slope and plain_score(model, rows[1][1]) > plain_score(model, rows[0][1])
+
+
+def test_platt_scaling_follows_its_prior_where_rows_are_few():
+    assert quality.platt(np.zeros(0), np.zeros(0)) == (1.0, 0.0)
+    a, c = quality.platt(np.array([0.0]), np.array([1.0]))
+    assert abs(1 / (1 + np.exp(-c)) - 2 / 3) < 1e-3 and a > 0
+    assert quality.platt(np.array([3.0, -3.0] * 40), np.array([0.0, 1.0] * 40))[0] > 0
+
+
 def test_platt_scaling():
     rng = np.random.default_rng(0)
     z = rng.normal(0, 3, 4000)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectide.llm.quality import CHAR_BITS, SCALE, WORD_BITS, descend, features, labelled_sample
+from vectide.llm.quality import DIMS, SAMPLE_ROWS, SCALE, descend, features, labelled_sample
 from vectide.llm.scratch import materialize, ship, unused
 from vectide.llm.textvec import Words, range_sums, runs, strings
 
@@ -36,7 +36,6 @@ from vectide.llm.textvec import Words, range_sums, runs, strings
 NEAR = 1e-4
 #: Weight of the least change of rates beside the squared distance, as a share of all tokens.
 PULL = 1e-9
-DIMS = (1 << WORD_BITS) + (1 << CHAR_BITS)
 
 
 def domain_of() -> Column:
@@ -64,7 +63,7 @@ class Classifier:
         return np.round(p / p.sum(1, keepdims=True), 6)
 
 
-def fit(docs: DataFrame, labels: DataFrame, domains: list[str], sample_rows: int = 3000) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, domains: list[str], sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """labels: doc_id and domain. Labels of other domains are not used."""
     code = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int")
     coded = labels.select("doc_id", code.alias("code")).where("code > 0")
@@ -202,13 +201,13 @@ def _fold(steps: list[np.ndarray], k: int):
     return run
 
 
-def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, sample_rows: int = 3000) -> DataFrame:
+def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, n_tokens, posteriors, rate, copies) for each row; posteriors in the order of ``targets``."""
     _, members, steps = _plan(docs, labels, targets, total, sample_rows)
     return members.mapInArrow(_fold(steps, len(targets)), "doc_id long, n_tokens long, posteriors array<double>, rate double").withColumn("copies", copies(F.col("rate")))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, sample_rows: int = 3000) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs``, every row as many times as its rate says. The rates are found again from
     the texts, so nothing is joined."""
     model, _, steps = _plan(docs, labels, targets, total, sample_rows)

@@ -96,12 +96,32 @@ class Words:
             edge = np.concatenate(([0], edge))
         self.start, self.end = edge[::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.begin)
+        self._sums = self._hashes = None
 
-    def hashes(self) -> np.ndarray:
+    def hashes_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of ranges of ``data``."""
         up, down = Powers.to(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        if self._sums is None:
+            self._sums = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self._sums[1:])
+        return mix((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+    def hashes(self) -> np.ndarray:
+        if self._hashes is None:
+            self._hashes = self.hashes_of(self.start, self.end)
+        return self._hashes
+
+    def characters(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the code points of ``data`` begin, and their bytes as one number each."""
+        at = np.flatnonzero((self.data & 0xC0) != 0x80)
+        out = self.data[at].astype(np.uint64)
+        size = np.diff(np.append(at, len(self.data)))
+        for k in range(1, 4):
+            more = np.flatnonzero(size > k)
+            if not len(more):
+                break
+            out[more] |= self.data[at[more] + k].astype(np.uint64) << np.uint64(8 * k)
+        return at, out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
