@@ -170,3 +170,77 @@ def test_timer_and_command_line(spark, tmp_path):
     text, errors = io.StringIO(), io.StringIO()
     main(['create(db,"d")', "use d", "timer(start)", "print(x)", "timer(end)", "shutdown", "print(y)"], f"file://{tmp_path}/cli", text, errors)
     assert float(text.getvalue()) >= 0 and errors.getvalue().count("UnknownVariable") == 1
+
+
+@pytest.mark.parametrize("index", ["", "create(idx,d.t.a,sorted,unclustered)", "create(idx,d.t.a,sorted,clustered)"])
+def test_a_fetch_sees_the_version_of_its_positions(session, index):
+    filled(session, [(1, 10), (2, 20)], index=index)
+    text = "p=select(d.t.a,null,null)\nq=select(d.t.a,2,3)\nrelational_update(d.t.b,q,77)\nv=fetch(d.t.b,p)\nprint(v)\nr=select(d.t.a,null,null)\nw=fetch(d.t.b,r)\nprint(w)"
+    assert out(session, text) == ["10\n20", "10\n77"]
+
+
+def test_changes_outlive_a_session_that_never_shuts_down(spark, tmp_path):
+    root = f"file://{tmp_path}/db"
+    filled(Session(spark, root), [(3, 1), (1, 2)])
+    third = Session(spark, root)
+    assert out(third, "p=select(d.t.a,null,null)\nx=fetch(d.t.b,p)\nprint(x)") == ["1\n2"]
+    out(third, "relational_insert(d.t,9,9)\nq=select(d.t.a,3,4)\nrelational_delete(d.t,q)\nrelational_insert(d.t,8,8)")
+    assert out(Session(spark, root), "p=select(d.t.a,null,null)\nx=fetch(d.t.a,p)\nprint(p,x)") == ["0,1\n1,9\n2,8"]
+    assert len([p for p in (tmp_path / "db/d").iterdir() if p.name.startswith("manifest")]) == 1
+
+
+def test_a_manifest_half_written_does_not_count(spark, tmp_path):
+    root = f"file://{tmp_path}/db"
+    filled(Session(spark, root), [(3, 1)])
+    (tmp_path / "db/d/manifest-999999999999.json.0.tmp").write_text("{")
+    assert out(Session(spark, root), "s=sum(d.t.a)\nprint(s)") == ["3"]
+
+
+def test_small_folders_become_one(spark, tmp_path):
+    s = Session(spark, f"file://{tmp_path}/db")
+    filled(s, [])
+    for i in range(20):
+        out(s, f"relational_insert(d.t,{i},0)\np=select(d.t.a,null,null)")
+    assert len(s.catalog.table("d.t").version.folders) < 16
+    assert out(s, "v=fetch(d.t.a,p)\nprint(v)\nx=sum(d.t.a)\nprint(x)") == ["\n".join(map(str, range(20))), "190"]
+
+
+def test_files_of_a_folder_load_in_the_order_of_their_names(session, spark, tmp_path):
+    out(session, 'create(db,"d")\ncreate(tbl,"t",d,1)\ncreate(col,"a",d.t)')
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("d.t.a\n0\n1\n2\n")
+    (folder / "b.csv").write_text("d.t.a\n" + "".join(f"{100 + i}\n" for i in range(50)))
+    (folder / "c.csv").write_text("d.t.a\n7")
+    out(session, f'load("file://{folder}")\nload("file://{folder}/c.csv")')
+    assert out(session, "p=select(d.t.a,null,null)\nv=fetch(d.t.a,p)\nprint(v)") == ["\n".join(map(str, [0, 1, 2, *range(100, 150), 7, 7]))]
+
+
+def test_an_empty_file_loads_no_row(session, tmp_path):
+    out(session, 'create(db,"d")\ncreate(tbl,"t",d,1)\ncreate(col,"a",d.t)')
+    out(session, f'load("{csv(tmp_path, "d.t.a" + chr(10))}")')
+    assert out(session, "s=sum(d.t.a)\nprint(s)") == ["0"]
+
+
+def test_a_print_streams(session):
+    filled(session, [(i, -i) for i in range(5)])
+    lines = session.stream("print(d.t.a,d.t.b)")
+    assert next(lines) == "0,0" and list(lines) == ["1,-1", "2,-2", "3,-3", "4,-4"]
+    assert list(session.stream("p=select(d.t.a,1,2)")) == []
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from vectide.sources.storage import scratch_root
+
+    held = {}
+    conf = SimpleNamespace(get=lambda k, d: held.get(k, d), set=held.__setitem__)
+    for master, fine in (("local[4]", True), ("local-cluster[2,1,512]", False), ("spark://host:7077", False), ("yarn", False)):
+        held.clear()
+        session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+        if fine:
+            assert scratch_root(session).startswith("file:")
+        else:
+            with pytest.raises(ValueError):
+                scratch_root(session)

@@ -14,12 +14,11 @@ def main(lines, root: str | None = None, out=sys.stdout, err=sys.stderr) -> None
     session = Session(SparkSession.builder.getOrCreate(), root)
     for line in lines:
         try:
-            text = session.execute(line)
+            for text in session.stream(line):
+                print(text, file=out)
         except VectideError as e:
             print(f"{type(e).__name__}: {e}", file=err)
             continue
-        if text is not None:
-            print(text, file=out)
         if line.strip() == "shutdown":
             break
 

@@ -15,9 +15,7 @@ def combine(op: str, a: Vector, b: Vector) -> Vector:
     """a + b or a - b place by place, modulo 2**32."""
     frame, (x, y) = aligned(a, b)
     sql = wrapped(op, x.sql, y.sql)
-    if len(sql) > LONGEST:
-        # One more column leaves the frame's rows as they are, so its other vectors stay aligned.
-        inst = fresh("v")
-        frame.df = frame.df.withColumn(f"{inst}|x", F.expr(sql))
-        sql = named(inst, "x")
-    return Vector(frame, sql)
+    if len(sql) <= LONGEST:
+        return Vector(frame, sql)
+    inst = fresh("v")
+    return Vector(frame.extended(lambda df: df.withColumn(f"{inst}|x", F.expr(sql))), named(inst, "x"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vectide.plans.vectors import POS, Vector, with_ordinals
-from vectide.sources.catalog import Table
+from vectide.plans.vectors import POS, Vector
+from vectide.sources.catalog import Table, renumbered
 
 
 def _distinct(positions: Vector):
@@ -19,8 +19,8 @@ def remaining(table: Table, positions: Vector):
 
 def delete(table: Table, positions: Vector):
     """Positions close up behind the rows that go."""
-    rows = remaining(table, positions).orderBy(POS).drop(POS)
-    table.replace(with_ordinals(rows, POS))
+    table.flush()
+    table.replace(renumbered(remaining(table, positions), table.version.rows))
 
 
 def updated(table: Table, column: str, positions: Vector, value: int):

@@ -7,15 +7,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.plans.vectors import Scalar, Vector, aligned
+from vectide.plans.vectors import Scalar, Vector, aligned, widest
 
 
 def scalar_values(scalars: list[Scalar]) -> list[int | float | None]:
     """The values of scalars, one aggregation for each frame that they come from."""
     out: dict[int, int | float | None] = {k: s.value for k, s in enumerate(scalars) if s.value is not None}
-    frames = {s.frame.id: s.frame for k, s in enumerate(scalars) if k not in out}
-    for f in frames.values():
-        own = [k for k, s in enumerate(scalars) if k not in out and s.frame is f]
+    for f in widest(s.frame for k, s in enumerate(scalars) if k not in out):
+        own = [k for k, s in enumerate(scalars) if k not in out and s.frame.id == f.id]
         row = f.df.agg(*[F.expr(scalars[k].sql).alias(f"s{k}") for k in own]).collect()[0]
         out |= {k: row[f"s{k}"] for k in own}
     return [out[k] for k in range(len(scalars))]

@@ -17,7 +17,7 @@ def instance(df: DataFrame) -> tuple[str, DataFrame]:
 
 def whole(table: Table) -> tuple[str, Frame]:
     """The table as a frame in the order of its rows."""
-    inst, df = instance(table.scan())
+    inst, df = instance(table.snapshot().scan())
     return inst, Frame(df, lambda: [named(inst, POS)])
 
 
@@ -29,11 +29,12 @@ def column(table: Table, name: str) -> Vector:
 def select(table: Table, name: str, low: int | None, high: int | None) -> Vector:
     """Positions of the rows with low <= value < high. With an index, from its sorted copy and
     in the order of values; the filter is left to the scan."""
+    bound = table.snapshot()
     copy = table.layout(name)
-    inst, df = instance(copy if copy is not None else table.scan())
+    inst, df = instance(copy if copy is not None else bound.scan())
     keys = [named(inst, name)] if name in table.indexes else []
     frame = Frame(df, lambda: [*keys, named(inst, POS)]).filtered(in_range(named(inst, name), low, high))
-    return Vector(frame, named(inst, POS), table, inst)
+    return Vector(frame, named(inst, POS), bound, inst)
 
 
 def select_values(values: Vector, low: int | None, high: int | None) -> Vector:
@@ -52,17 +53,22 @@ def refine(positions: Vector, values: Vector, low: int | None, high: int | None)
 
 def fetch(table: Table, name: str, positions: Vector) -> Vector:
     """The column's values at the positions, their order and repeats kept: a projection where the
-    frame carries the table already, else a join on positions."""
+    frame carries the table already, else a join on positions. Positions of this table see the version that they were bound to."""
     frame = positions.frame
-    carried = f"{positions.instance}|{name}"
-    if positions.table is table and positions.instance and carried in frame.df.columns:
+    own = positions.table is not None and positions.table.table is table
+    if own and positions.instance and f"{positions.instance}|{name}" in frame.df.columns:
         return Vector(frame, named(positions.instance, name))
-    inst, df = instance(table.scan().select(POS, name))
-    joined = frame.df.join(df, F.expr(f"{positions.sql} = {named(inst, POS)}"))
-    # The join adds columns to the same rows: it is a frame of its own, so vectors fetched
-    # through one position vector share it.
-    cache = positions.__dict__.setdefault("joined", {})
-    key = (table.full_name, name)
-    if key not in cache:
-        cache[key] = Vector(Frame(joined, frame.order), named(inst, name))
-    return cache[key]
+    bound = positions.table if own else table.snapshot()
+    # The join brings all columns, of which the optimiser keeps those in use: one join serves all fetches of a table.
+    joined = positions.__dict__.setdefault("joined", {})
+    key = (table.full_name, id(bound.version))
+    if key not in joined:
+        inst, df = instance(bound.scan())
+        there = F.expr(f"{positions.sql} = {named(inst, POS)}")
+        if own:
+            # Every position is there, once: the same rows.
+            joined[key] = inst, bound, frame.extended(lambda rows: rows.join(df, there))
+        else:
+            joined[key] = inst, bound, Frame(frame.df.join(df, there), frame.order)
+    inst, _, wide = joined[key]
+    return Vector(wide, named(inst, name))

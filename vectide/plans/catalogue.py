@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions.ints import wrapped
 from vectide.operators import changes, printing, shared_scan
-from vectide.plans.vectors import POS, Scalar, Vector, ordinals
+from vectide.plans.vectors import POS, Scalar, Vector, ordinals, widest
 from vectide.session import Session
 from vectide.sources.catalog import positioned
 
@@ -41,11 +41,12 @@ def result(s: Session, **named: str) -> DataFrame:
     scalars = {k: v for k, v in found.items() if isinstance(v, Scalar)}
     if not scalars:
         return printing.table_of(list(found.values()), list(found))
-    frames = {v.frame.id: v.frame for v in scalars.values()}
+    frames = widest(v.frame for v in scalars.values())
     if len(frames) > 1 or len(scalars) < len(found):
         raise ValueError("scalars of one frame make a row")
-    frame = next(iter(frames.values()))
-    return frame.df.agg(*[F.expr(v.sql).alias(k) for k, v in scalars.items()])
+    sought = [F.expr(v.sql).alias(k) for k, v in scalars.items() if v.value is None]
+    row = frames[0].df.agg(*sought) if sought else s.spark.range(1)
+    return row.select(*[k if v.value is None else F.lit(v.value).cast("long").alias(k) for k, v in scalars.items()])
 
 
 def scripted(lines: str, **named: str) -> Query:
@@ -205,8 +206,7 @@ def print_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_shared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, pos) of two ranges over one scan."""
     table = session(spark, sf_dir).catalog.table("t.lineitem")
-    inst, df = shared_scan.tagged(table, [("l_quantity", None, 5), ("l_quantity", 3, 8)], [])
-    return df.select(F.col(f"`{inst}|qid`").alias("qid"), F.col(f"`{inst}|{POS}`").alias("pos"))
+    return shared_scan.tagged(table, [("l_quantity", None, 5), ("l_quantity", 3, 8)]).withColumnRenamed(POS, "pos")
 
 
 def index_sorted_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,23 +217,29 @@ def index_sorted_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinals(p.frame, [p.sql], ["pos"], "place").select("place", "pos")
 
 
-def join_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place and positions of the pairs of a hash join, in the order that print shows."""
-    s = session(spark, sf_dir)
-    list(s.script(JOINED.format("hash")))
-    a, b = s.pool["r1"], s.pool["r2"]
-    return ordinals(a.frame, [a.sql, b.sql], ["p1", "p2"], "place").select("place", "p1", "p2")
+def join_order(kind: str) -> Query:
+    """Place and positions of the pairs of a join, in the order that print shows."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = session(spark, sf_dir)
+        list(s.script(JOINED.format(kind)))
+        a, b = s.pool["r1"], s.pool["r2"]
+        return ordinals(a.frame, [a.sql, b.sql], ["p1", "p2"], "place").select("place", "p1", "p2")
+
+    return run
 
-def _managed(spark: SparkSession, sf_dir: str) -> Session:
-    """The orders as a managed table ``m.o``, loaded from a CSV file written of them."""
+
+def _managed(spark: SparkSession, sf_dir: str, index: str = "", cuts: tuple[int, ...] = ()) -> Session:
+    """The orders as a managed table ``m.o``, loaded from a CSV file written of them, or from a folder of files that
+    begin at the positions ``cuts``."""
     s = Session(spark)
     rows = positioned(spark.read.parquet(f"{sf_dir}/orders.parquet").select(*INTS["orders"]))
-    list(s.script('create(db,"m")\ncreate(tbl,"o",m,2)\ncreate(col,"k",m.o)\ncreate(col,"c",m.o)'))
+    list(s.script(f'create(db,"m")\ncreate(tbl,"o",m,2)\ncreate(col,"k",m.o)\ncreate(col,"c",m.o)\n{index}'))
     csv = f"{s.catalog.root}/orders.csv"
-    # One file in the order of positions, as a client's CSV file is.
+    # In the order of positions, as a client's CSV file is.
     flat = rows.select(POS, F.col("o_orderkey").cast("int").alias("m.o.k"), F.col("o_custkey").cast("int").alias("m.o.c"))
-    flat.coalesce(1).sortWithinPartitions(POS).drop(POS).write.csv(csv, header=True)
+    part = sum((F.when(F.col(POS) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    flat.withColumn("_part", part).repartitionById(len(cuts) + 1, "_part").sortWithinPartitions(POS).drop(POS, "_part").write.csv(csv, header=True)
     s.execute(f'load("{csv}")')
     return s
 
@@ -261,6 +267,35 @@ def update_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.catalog.table("m.o").scan().select(F.col(POS).alias("pos"), "k", "c")
 
 
+def load_csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of very different sizes: positions follow the files' names and not what Spark reads first."""
+    s = _managed(spark, sf_dir, cuts=(3, 50, 700))
+    return s.catalog.table("m.o").scan().select(F.col(POS).alias("pos"), "k", "c")
+
+
+def index_of_loaded_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _managed(spark, sf_dir, "create(idx,m.o.c,sorted,clustered)")
+    list(s.script("p=select(m.o.c,100,400)\nv=fetch(m.o.k,p)"))
+    return result(s, pos="p", k="v")
+
+
+def statistics_of_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum, minimum and maximum of whole columns, as the table keeps them, after a load and an insert."""
+    s = _managed(spark, sf_dir)
+    list(s.script("relational_insert(m.o,-5,1000000)\na=sum(m.o.k)\nb=min(m.o.k)\nc=max(m.o.k)"))
+    scalars = [s.pool[x] for x in "abc"]
+    if any(x.value is None for x in scalars):
+        raise ValueError("a statistic is missing")
+    return spark.range(1).select(*[F.lit(x.value).cast("long").alias(n) for x, n in zip(scalars, ("total", "least", "most"), strict=True)])
+
+
+def fetch_bound_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions bound before an update fetch the values of before."""
+    s = _managed(spark, sf_dir, "create(idx,m.o.c,sorted,unclustered)")
+    list(s.script("p=select(m.o.c,100,500)\nq=select(m.o.k,0,100)\nrelational_update(m.o.k,p,7)\nv=fetch(m.o.k,p)"))
+    return result(s, pos="p", k="v")
+
+
 def delete_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a delete leaves of a table that is only attached, under the old positions."""
     s = session(spark, sf_dir)
@@ -274,7 +309,16 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "print_scalars": (print_scalars, f"{LI} SELECT l_partkey, CAST(SUM(l_partkey) OVER () AS BIGINT) AS total FROM li WHERE l_quantity >= 10 AND l_quantity < 20"),
     "batch_shared_scan": (batch_shared_scan, f"{LI} SELECT CAST(0 AS INT) AS qid, pos FROM li WHERE l_quantity < 5 UNION ALL SELECT CAST(1 AS INT), pos FROM li WHERE l_quantity >= 3 AND l_quantity < 8"),
     "index_sorted_order": (index_sorted_order, f"{LI} SELECT row_number() OVER (ORDER BY l_partkey, pos) - 1 AS place, pos FROM li WHERE l_partkey >= 100 AND l_partkey < 300"),
-    "join_order": (join_order, f"{BOTH} SELECT row_number() OVER (ORDER BY o.pos, li.pos) - 1 AS place, li.pos AS p1, o.pos AS p2 {JOIN_FROM}"),
+    "join_order": (join_order("hash"), f"{BOTH} SELECT row_number() OVER (ORDER BY o.pos, li.pos) - 1 AS place, li.pos AS p1, o.pos AS p2 {JOIN_FROM}"),
+    "join_order_nested_loop": (
+        join_order("nested-loop"),
+        f"{BOTH}, n AS (SELECT (SELECT COUNT(*) FROM li WHERE l_quantity >= 40) >= (SELECT COUNT(*) FROM o WHERE o_custkey < 500) AS left_outer) "
+        f"SELECT row_number() OVER (ORDER BY CASE WHEN left_outer THEN li.pos ELSE o.pos END, CASE WHEN left_outer THEN o.pos ELSE li.pos END) - 1 AS place, li.pos AS p1, o.pos AS p2 {JOIN_FROM.replace(' WHERE', ' CROSS JOIN n WHERE')}",
+    ),
+    "load_csv_files": (load_csv_files, f"{O} SELECT pos, k, c FROM o"),
+    "index_of_loaded_table": (index_of_loaded_table, f"{O} SELECT pos, k FROM o WHERE c >= 100 AND c < 400"),
+    "statistics_of_columns": (statistics_of_columns, f"{O} SELECT CAST(SUM(k) - 5 AS BIGINT) AS total, CAST(LEAST(MIN(k), -5) AS BIGINT) AS least, CAST(MAX(k) AS BIGINT) AS most FROM o"),
+    "fetch_bound_version": (fetch_bound_version, f"{O} SELECT pos, k FROM o WHERE c >= 100 AND c < 500"),
     "load_csv": (load_csv, f"{O} SELECT pos, k, c FROM o"),
     "insert_rows": (insert_rows, f"{O} SELECT pos, k, c FROM o UNION ALL SELECT (SELECT COUNT(*) FROM o), -1, -11 UNION ALL SELECT (SELECT COUNT(*) FROM o) + 1, -2, -22"),
     "delete_rows": (delete_rows, f"{O} SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, k, c FROM o WHERE NOT (c >= 100 AND c < 500)"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -33,11 +33,21 @@ def named(instance: str, column: str) -> str:
 
 @dataclass(eq=False)
 class Frame:
-    """Aligned rows. order: SQL sort keys, found only when the order is asked for."""
+    """Aligned rows. order: SQL sort keys, found only when the order is asked for. Frames with one id are the same rows,
+    each with more columns than the one before it in ``chain``."""
 
     df: DataFrame
     order: Callable[[], list[str]]
     id: int = field(default_factory=lambda: next(_ids))
+    chain: list[Frame] = field(default_factory=list)
+
+    def __post_init__(self):
+        self.depth = len(self.chain)
+        self.chain.append(self)
+
+    def extended(self, change: Callable[[DataFrame], DataFrame]) -> Frame:
+        """The rows with more columns; ``change`` keeps the rows and columns, so all vectors stay aligned."""
+        return Frame(change(self.chain[-1].df), self.order, self.id, self.chain)
 
     def filtered(self, condition: str) -> Frame:
         return Frame(self.df.where(condition), self.order)
@@ -49,17 +59,13 @@ class Frame:
 
 @dataclass(eq=False)
 class Vector:
-    """sql: the value of each row. For positions, ``table`` and ``instance`` say where they point."""
+    """sql: the value of each row. For positions, ``table`` (a snapshot) and ``instance`` say where they point."""
 
     frame: Frame
     sql: str
     table: object = None
     instance: str | None = None
 
-    @property
-    def is_positions(self) -> bool:
-        return self.table is not None or self.instance is not None
-
 
 @dataclass(eq=False)
 class Scalar:
@@ -116,12 +122,21 @@ def zipped(groups: list[tuple[Frame, list[str]]]) -> tuple[Frame, list[list[str]
     return frame, found
 
 
+def widest(frames: Iterable[Frame]) -> list[Frame]:
+    """Of frames of the same rows the one with all their columns."""
+    out: dict[int, Frame] = {}
+    for f in frames:
+        if f.id not in out or out[f.id].depth < f.depth:
+            out[f.id] = f
+    return list(out.values())
+
+
 def aligned(*vectors: Vector) -> tuple[Frame, list[Vector]]:
     """The vectors on one frame: as they are, or zipped by place."""
-    frames = list({v.frame.id: v.frame for v in vectors}.values())
+    frames = widest(v.frame for v in vectors)
     if len(frames) == 1:
         return frames[0], list(vectors)
-    groups = [(f, [v.sql for v in vectors if v.frame is f]) for f in frames]
+    groups = [(f, [v.sql for v in vectors if v.frame.id == f.id]) for f in frames]
     frame, sqls = zipped(groups)
     pools = {f.id: iter(s) for f, s in zip(frames, sqls, strict=True)}
     # A zipped frame carries no table columns: positions keep their table, and a fetch joins.

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from vectide.errors import ParseError, UnknownVariable
 from vectide.operators import aggregates, arithmetic, changes, joins, printing, selection, shared_scan
@@ -15,7 +16,8 @@ from vectide.sources.catalog import Catalog
 
 
 class Session:
-    """``execute`` takes a line and returns the text it prints, if any."""
+    """``execute`` takes a line and returns the text it prints, if any; ``stream`` gives that line by line,
+    as the rows come from the executors."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, catalog: Catalog | None = None):
         self.spark = spark
@@ -23,8 +25,9 @@ class Session:
         self.pool: dict[str, Vector | Scalar] = {}
         self.queue: list[Statement] | None = None
         self.began: float | None = None
+        self.kept: list[DataFrame] = []
 
-    def execute(self, line: str) -> str | None:
+    def _told(self, line: str) -> Iterator[str] | None:
         s = parse(line)
         if s is None:
             return None
@@ -33,6 +36,14 @@ class Session:
             return None
         return self.run(s)
 
+    def execute(self, line: str) -> str | None:
+        told = self._told(line)
+        return None if told is None else "\n".join(told)
+
+    def stream(self, line: str) -> Iterator[str]:
+        """The lines that a statement prints; the statement itself has run when this returns."""
+        return self._told(line) or iter(())
+
     def script(self, lines: str | Iterable[str]) -> Iterator[str]:
         for line in lines.splitlines() if isinstance(lines, str) else lines:
             text = self.execute(line)
@@ -76,9 +87,9 @@ class Session:
 
     # Statements
 
-    def run(self, s: Statement) -> str | None:
+    def run(self, s: Statement) -> Iterator[str] | None:
         done = getattr(self, f"_{s.op}")(s)
-        if isinstance(done, str):
+        if isinstance(done, Iterator):
             return done
         if done is not None:
             results = done if isinstance(done, tuple) else (done,)
@@ -151,16 +162,18 @@ class Session:
 
     _sub = _add
 
-    def _print(self, s: Statement) -> str:
-        return "\n".join(printing.lines(self._together(list(s.args))))
+    def _print(self, s: Statement) -> Iterator[str]:
+        return printing.lines(self._together(list(s.args)))
 
     def _batch_queries(self, s: Statement):
         self.queue = []
 
-    def _batch_execute(self, s: Statement) -> str | None:
+    def _batch_execute(self, s: Statement) -> Iterator[str] | None:
         """The queued selections of each table share a scan; then the rest runs in order.
-        A selection is shared unless something queued before it changes its table."""
+        A selection is shared unless something queued before it changes its table. Rows kept for the batch before
+        are let go: vectors of that one read the table again."""
         queue, self.queue = self.queue or [], None
+        self._release()
         groups: dict[str, list[int]] = {}
         wanted: dict[str, list[str]] = {}
         fixed = True
@@ -174,22 +187,29 @@ class Session:
         for name, at in groups.items():
             table = self.catalog.table(name)
             ranges = [(self.catalog.column(queue[i].args[0])[1], *queue[i].args[1:]) for i in at]
-            ready |= dict(zip(at, shared_scan.select_all(table, ranges, wanted.get(name, [])), strict=True))
+            vectors, kept = shared_scan.select_all(table, ranges, wanted.get(name, []))
+            ready |= dict(zip(at, vectors, strict=True))
+            self.kept += kept
         out = []
         for i, q in enumerate(queue):
             if i in ready:
                 self.pool[q.handles[0]] = ready[i]
-            elif (text := self.run(q)) is not None:
-                out.append(text)
-        return "\n".join(out) if out else None
+            elif (told := self.run(q)) is not None:
+                out.append(told)
+        return itertools.chain(*out) if out else None
+
+    def _release(self):
+        for df in self.kept:
+            df.unpersist()
+        self.kept = []
 
-    def _timer(self, s: Statement) -> str | None:
+    def _timer(self, s: Statement) -> Iterator[str] | None:
         if s.args[0] == "start" or self.began is None:
             self.began = time.perf_counter()
             return None
-        return f"{time.perf_counter() - self.began:f}"
+        return iter([f"{time.perf_counter() - self.began:f}"])
 
     def _shutdown(self, s: Statement):
-        self.catalog.save()
+        self.catalog.flush()
         self.pool.clear()
-        self.spark.catalog.clearCache()
+        self._release()
