@@ -12,7 +12,7 @@ without the word copyright and without one of the further licences.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm.scratch import without
@@ -124,16 +124,30 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known(docs: DataFrame, licences: list[tuple[str, str]]) -> DataFrame:
-    """(digest, license): one row for each digest."""
-    rows = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in licences])
-    table = docs.sparkSession.range(1).select(F.inline(rows))
+#: Texts of a known list, at most: the side that is broadcast.
+MOST = 100_000
+
+
+def table_of(spark: SparkSession, path: str) -> DataFrame:
+    """A known list (license, text) kept as a Parquet table."""
+    return spark.read.parquet(path).select("license", "text")
+
+
+def known(docs: DataFrame, licences: list[tuple[str, str]] | DataFrame, most: int = MOST) -> DataFrame:
+    """(digest, license): one row for each digest. ValueError beyond ``most`` texts."""
+    if isinstance(licences, DataFrame):
+        if licences.count() > most:
+            raise ValueError(f"a list of more than {most} texts")
+        table = licences
+    else:
+        rows = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in licences])
+        table = docs.sparkSession.range(1).select(F.inline(rows))
     return table.select(digest(F.col("text")).alias("digest"), "license").where("digest IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, licences: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``docs`` with digest and license (null: not a known one), by default of ``licence_list``. The known list is
-    held in the plan itself, so its side is as small as the list."""
+def scan(docs: DataFrame, licences: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
+    """``docs`` with digest and license (null: not a known one), by default of ``licence_list``; a DataFrame
+    (license, text) takes its place. The known list is counted before it is broadcast."""
     from vectide.llm.licence_list import listed
 
     own = docs.select(*without(docs.columns, "digest", "license"))
