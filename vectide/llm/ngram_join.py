@@ -42,8 +42,8 @@ from vectide.llm.scratch import counted, materialize, ship, unused
 from vectide.llm.textvec import Words, mix, runs, strings, windows
 
 GROWTH = 1.35
-#: A block holds about so many classes, and shingles, at most.
-BLOCK, WEIGHT = 512, 1 << 18
+#: A block holds about so many classes (up to eight times as many in very large keys), and shingles, at most.
+BLOCK, WEIGHT = 256, 1 << 18
 #: So many classes, counted, may be broadcast to find their texts; more are found by a join over the network.
 FEW = 200_000
 #: The first turn is over keys of more classes than this.
@@ -462,7 +462,8 @@ class Groups:
 
     def _blocks(self, known: DataFrame, chosen: DataFrame):
         """Adds the links that join the components within the chosen keys (key, size, weight)."""
-        blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / WEIGHT)).cast("int")
+        block = F.greatest(F.lit(BLOCK), F.least(F.lit(8 * BLOCK), 4 * F.sqrt("size")))
+        blocks = F.ceil(F.greatest(F.col("size") / block, F.col("weight") / WEIGHT)).cast("int")
         rows = known.join(chosen.select("key", blocks.alias("blocks")), "key")
         rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
