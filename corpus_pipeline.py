@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. Between stages the rows are written as Parquet and read again, so a later
 stage never computes an earlier one twice and lost executors cost one stage's tasks.
+
+Defined results: rows with a null or empty text fail the quality rules; rows equal in doc_id and text are one document
+to the near-duplicate stage, of texts that link the one with the smallest doc_id stays, rows without a doc_id last; rows that share a doc_id
+but not their text stay apart; ties are broken by hashes of doc_id and text, so a second run gives the same rows; an empty table
+gives no row; columns beside doc_id and text are carried along, whatever their names, and are not read.
 """
 
 from __future__ import annotations

@@ -207,6 +207,21 @@ def test_mixing_solver_meets_far_targets(spark, shares, weights):
     assert np.abs((mixing.rates(p, steps) * n) @ p - goal).max() <= 1e-4 * goal.sum()
 
 
+@pytest.mark.parametrize("total", [3000.0, 20000.0, 60000.0])
+def test_mixing_against_projected_gradients(spark, total):
+    """An independent solver of the least squares over rates >= 0, with many small steps, reaches the same totals."""
+    rng = np.random.default_rng(11)
+    p, n = rng.dirichlet([0.4, 0.6, 0.5], 80), rng.integers(1, 300, 80)
+    members = spark.createDataFrame([(int(x), q.tolist()) for x, q in zip(n, p)], "n_tokens long, posteriors array<double>")
+    weights = np.array([0.85, 0.1, 0.05])
+    _, reached, goal = mixing.solve(members, weights.tolist(), total)
+    a, r = (p * n[:, None]).T, np.ones(80)
+    step = 1 / np.linalg.norm(a @ a.T, 2)
+    for _ in range(60000):
+        r = np.maximum(0, r - step * a.T @ (a @ r - weights * total))
+    assert np.allclose(goal, weights * total) and np.abs(a @ r - reached).max() < 2e-3 * total
+
+
 def test_mixing_solver_out_of_reach(spark):
     """The conditions of least squares over rates >= 0 hold where the targets cannot be met."""
     p, n = sharp([0.5, 0.5], 2000)
@@ -488,7 +503,41 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == seen[3]
 
 
-@pytest.mark.parametrize("k", range(3))
-def test_pipeline_stages_take_an_empty_table(spark, sf, k):
+@pytest.fixture(scope="module")
+def odd_folder(odd, labels, tmp_path_factory):
+    root = f"file://{tmp_path_factory.mktemp('odd')}"
+    odd.unionByName(odd).write.parquet(f"{root}/documents.parquet")
+    marks = labels.unionByName(odd.where("doc_id IS NOT NULL").selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality", "CAST(NULL AS INT) AS toxic"))
+    marks.write.parquet(f"{root}/labels.parquet")
+    return root
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd_folder, odd_rows):
+    """Nulls, empty and long texts, ties, repeated rows and columns with the stages' own names."""
+    docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, odd_folder)
+        assert after.columns == docs.columns and {r.doc_id for r in after.collect()} <= {i for i, _ in odd_rows}
+    fine = quality.query(None, docs, spark.read.parquet(f"{odd_folder}/labels.parquet")).where("kept").count()
+    assert corpus_pipeline.quality_rules(spark, docs, odd_folder).count() == fine
+    pieces = corpus_pipeline.STAGES[names.index("packing")][1](spark, docs, odd_folder).collect()
+    assert {r.doc_id for r in pieces} == {i for i, _ in odd_rows}
+    first, second = (sorted(map(str, corpus_pipeline.run(spark, odd_folder).drop("sequence_id", "offset").collect())) for _ in range(2))
+    assert first == second
+
+
+def test_pipeline_of_nothing(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
-    assert corpus_pipeline.STAGES[k][1](spark, docs, sf).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_pipeline_keeps_a_like_of_every_text(spark):
+    """Rows that share a doc_id but not their text: one of each group of texts stays."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b)], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect())) == [(3, a), (5, b)]
