@@ -1,8 +1,10 @@
 """Token ids, files of them, packing and unigram counts."""
 
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -10,15 +12,16 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from vectide.llm import packing, rangecoder, token_files, trie_counts
+from vectide.llm import packing, rangecoder, token_files, tokens, trie_counts
 from vectide.llm.textvec import runs, strings
 from vectide.llm.tokens import Encoder, vocabulary
 
 
 def library(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+M64 = (1 << 64) - 1
 
 
 def crc(ids):
@@ -26,6 +29,7 @@ def crc(ids):
 
 
 MARKS = ["a b", "a  b", " a", "a ", "a\nb", "a\n b", "a \nb", "a\n\nb", "a\tb c", "a\xa0 b", "a \xa0b", "é é", "à, b", "×, ÷.", "—, —.", "it's, we'll; don't!", "a,b.c:d", "1, 2.5", "x\x1c y", "İ, ß. ſ", "é ́x", "$$$ *** !!! a!! b??", "ΑΣ ΑΣΑ,"]
+MARKS += ["say <|endoftext|> now", "<|endoftext|>", "a<|endoftext|>b", "a.<|endoftext|>. b", "<|ENDOFTEXT|> <|startoftext|>\n<|endoftext|>", "<|endoftext| >", "x <|startoftext|><|endoftext|>,", "w" * 3000 + "<|endoftext|>" + "w" * 3000]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -33,27 +37,81 @@ def test_chunks_give_the_librarys_ids(name, odd_rows, real):
     rng = random.Random(1)
     soup = ["".join(rng.choice(" \n\t.,;'aAbé—×日\xa0") for _ in range(rng.randrange(40))) for _ in range(400)]
     texts = [t or "" for _, t in odd_rows] + MARKS + soup + [r.text or "" for r in real.limit(60).collect()]
-    encoder, want = Encoder(vocabulary(name)), library(name)
     raw, at = strings(pa.array(texts))
-    for _ in range(2):
-        for i, j in runs(at, 20000):
-            flat, bounds = encoder.encode(raw, at[i : j + 1])
-            for k in range(i, j):
-                assert flat[bounds[k - i] : bounds[k - i + 1]].tolist() == want.encode(texts[k], add_special_tokens=False).ids, texts[k]
+    for literal in (False, True):
+        encoder, want = Encoder(vocabulary(name), literal), library(name)
+        want.encode_special_tokens = literal
+        for _ in range(2):
+            for i, j in runs(at, 20000):
+                flat, bounds = encoder.encode(raw, at[i : j + 1])
+                for k in range(i, j):
+                    assert flat[bounds[k - i] : bounds[k - i + 1]].tolist() == want.encode(texts[k], add_special_tokens=False).ids, texts[k]
+
 
+def test_special_tokens_are_the_librarys():
+    for name, end in (("word_bpe_49k.json", 49407), ("byte_bpe_50k.json", 50256)):
+        raw, at = strings(pa.array(["say <|endoftext|> now"]))
+        assert end in Encoder(vocabulary(name)).encode(raw, at)[0] and end not in Encoder(vocabulary(name), literal=True).encode(raw, at)[0]
 
-@pytest.mark.parametrize("n", [1, 2, 31, 32, 33, 100, 4095, 4096, 4097, 9000])
+
+def test_a_tokenizer_that_cuts_cannot_respect_encodes_whole_texts(tmp_path):
+    t = library("byte_bpe_50k.json")
+    t.add_special_tokens(["<a b>"])
+    t.save(str(tmp_path / "t.json"))
+    texts = ["x <a b> y", "plain text here.", "", "<a b>"]
+    raw, at = strings(pa.array(texts))
+    encoder = Encoder(str(tmp_path / "t.json"))
+    flat, bounds = encoder.encode(raw, at)
+    assert not encoder.chunked and [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_the_memo_may_fill_up(monkeypatch):
+    monkeypatch.setattr(tokens, "LIMIT", 50)
+    rng = random.Random(5)
+    texts = [" ".join("w%d" % rng.randrange(300) for _ in range(20)) for _ in range(40)]
+    raw, at = strings(pa.array(texts))
+    encoder, want = Encoder(vocabulary("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    for i in range(40):
+        assert encoder.encode(raw, at[i : i + 2])[0].tolist() == want.encode(texts[i], add_special_tokens=False).ids
+
+
+def test_memo_against_a_dictionary():
+    rng = np.random.default_rng(3)
+    memo, held = tokens.Memo(8), {}
+    for _ in range(6):
+        names = np.unique(rng.integers(1, 400, 20).astype(np.uint64))
+        found = memo.find(names)
+        assert found.tolist() == [held.get(x, -1) for x in names.tolist()]
+        new = names[found < 0]
+        memo.put(new, np.arange(len(held), len(held) + len(new), dtype=np.int32))
+        held |= {x: len(held) + k for k, x in enumerate(new.tolist())}
+
+
+def test_names_of_chunks():
+    rng = random.Random(4)
+    chunks = list({"".join(rng.choice("ab \x00é") for _ in range(rng.randrange(1, 40))).encode() for _ in range(3000)}) + [b"a" * n for n in range(1, 600)]
+    data = np.frombuffer(b"".join(chunks), np.uint8)
+    ends = np.cumsum([len(c) for c in chunks])
+    names = tokens.chunk_names(data, ends - [len(c) for c in chunks], ends)
+    assert names.min() > 0 and len(set(names.tolist())) == len(set(chunks))
+    again = [tokens.chunk_names(np.frombuffer(c, np.uint8), np.zeros(1, int), np.array([len(c)]))[0] for c in chunks]
+    assert names.tolist() == again
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 9, 33, 100, 4095, 4096, 4097, 17000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
     for ids in (rng.integers(0, 49408, n), np.zeros(n, int), rng.zipf(1.3, n) % 49408, np.tile([1, 2, 3], n)[:n], np.full(n, 49407)):
         assert (rangecoder.decode_blocks(rangecoder.encode_blocks(ids, 49408)) == ids).all()
+    wide = rng.integers(0, 3_000_000, n)
+    assert (rangecoder.decode_blocks(rangecoder.encode_blocks(wide, 3_000_000)) == wide).all()
     assert (rangecoder.decode_blocks(rangecoder.encode_blocks(ids, 49408, 7)) == ids).all()
 
 
 def test_blocks_are_independent_and_checked():
-    ids = np.random.default_rng(0).zipf(1.2, 20000) % 5000
-    blocks = rangecoder.encode_blocks(ids, 5000)
-    assert (rangecoder.decode_blocks([blocks[3]]) == ids[3 * 4096 : 4 * 4096]).all()
+    ids = np.random.default_rng(0).zipf(1.2, 40000) % 5000
+    blocks, n = rangecoder.encode_blocks(ids, 5000), rangecoder.BLOCK
+    assert (rangecoder.decode_blocks([blocks[3]]) == ids[3 * n : 4 * n]).all()
     assert sum(map(len, blocks)) < 2 * len(ids)
     hurt = bytearray(blocks[2])
     hurt[60] ^= 4
@@ -71,6 +129,65 @@ def test_repetition_is_cheap():
     assert sum(map(len, blocks)) < 900
 
 
+def plain_bits(ids, vocabulary):
+    """The length in bits that the mixture gives, told id by id from its definition."""
+    number, counted, n_counted, history = {}, {}, 0, []
+    t1, t2, weights, bits = {}, {}, {}, 0.0
+    last = before = 0
+    renewals = rangecoder._renewals(len(ids))
+    for t, x in enumerate(ids):
+        i2 = (((last * 0x9E3779B1 + before) & M64) >> 9) & ((1 << rangecoder._BITS2) - 1)
+        (p1, c1), (p2, c2) = t1.get(last, (0, 0)), t2.get(i2, (0, 0))
+        w = weights.setdefault((c2, c1, p1 == p2), [1 + 40 * c2, 1 + 20 * c1, 60, 40])
+        d = number.get(x)
+        late = len(number) - len(counted)
+        total0 = max(1, n_counted + late)
+        if d is None:
+            bits += math.log2(sum(w) / w[3]) + math.log2(vocabulary)
+            d, which = number.setdefault(x, len(number)), 3
+        else:
+            p = w[0] * (p2 == d) + w[1] * (p1 == d) + w[2] * counted.get(d, 1) / total0
+            bits += math.log2(sum(w) / p)
+            which = 0 if p2 == d else 1 if p1 == d else 2
+        w[which] += rangecoder._GAIN
+        new = which == 3
+        t1[last] = (d, min(c1 + 1, 3)) if p1 == d and not new else (d, 1)
+        t2[i2] = (d, min(c2 + 1, 3)) if p2 == d and not new else (d, 1)
+        history.append(d)
+        before, last = (last * 0xC2B2AE35) & M64, d
+        if (t + 1) % rangecoder._EVERY == 0:
+            for own in weights.values():
+                if sum(own) > rangecoder._MOST:
+                    own[:] = [v // 2 + 1 for v in own]
+        if t + 1 in renewals:
+            counted, n_counted = dict(Counter(history)), t + 1
+    return bits
+
+
+def test_probabilities_are_those_of_the_mixture(real):
+    encoder = Encoder.open(vocabulary("word_bpe_49k.json"))
+    raw, at = strings(pa.array([r.text or "" for r in real.limit(40).collect()]))
+    ids = encoder.encode(raw, at)[0][: 3 * rangecoder.BLOCK]
+    for own in (ids[:5000], np.random.default_rng(2).zipf(1.4, 3000) % 900, np.tile(np.arange(60), 40)):
+        (block,) = rangecoder.encode_blocks(own, 49408, rangecoder.LONGEST)
+        bits = plain_bits(own.tolist(), 49408)
+        assert abs(8 * len(block) - bits) < 0.01 * bits + 8 * 40
+
+
+def test_blocks_are_smaller_than_zlibs_and_than_order_0(real):
+    """On ids of real texts: below zlib's of the same blocks, and below the entropy of the ids' own frequencies."""
+    encoder = Encoder.open(vocabulary("word_bpe_49k.json"))
+    raw, at = strings(pa.array([r.text or "" for r in real.collect()]))
+    ids = encoder.encode(raw, at)[0]
+    n = rangecoder.BLOCK
+    ids = ids[: len(ids) // n * n]
+    ours = sum(map(len, rangecoder.encode_blocks(ids, 49408)))
+    theirs = sum(len(zlib.compress(ids[i : i + n].astype("<u2").tobytes(), 9)) for i in range(0, len(ids), n))
+    share = np.bincount(ids) / len(ids)
+    share = share[share > 0]
+    assert ours < 0.9 * theirs and 8 * ours < -(share * np.log2(share)).sum() * len(ids)
+
+
 def expected_files(rows):
     t, out, at = library("word_bpe_49k.json"), [], 0
     for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
@@ -196,7 +313,33 @@ def test_trie_memo_can_be_emptied(monkeypatch):
     pieces = trie_counts.Pieces.open(vocabulary("piece_bpe_32k.model"))
     raw, at = strings(pa.array(["some words here", "other words there", "some more"]))
     whole = trie_counts.Counter(pieces).count(raw, at)
-    monkeypatch.setattr(trie_counts, "MEMO", 2)
-    small = trie_counts.Counter(pieces)
-    parts = [small.count(raw, at[i : i + 2]) for i in range(3)]
-    assert [x.tolist() for x in whole] == [np.concatenate(c).tolist() for c in zip(*parts, strict=True)]
+    for memo, nodes in ((2, 1000), (1000, 5)):
+        monkeypatch.setattr(trie_counts, "MEMO", memo)
+        monkeypatch.setattr(trie_counts, "NODES", nodes)
+        small = trie_counts.Counter(pieces)
+        parts = [small.count(raw, at[i : i + 2]) for i in range(3)]
+        assert [x.tolist() for x in whole] == [np.concatenate(c).tolist() for c in zip(*parts, strict=True)]
+
+
+def test_prefixes_are_scored_once(monkeypatch):
+    """The trie stays from run to run: a word that shares a prefix adds the nodes of its end alone."""
+    pieces = trie_counts.Pieces.open(vocabulary("piece_bpe_32k.model"))
+    counter, sizes = trie_counts.Counter(pieces), []
+    for text in ("international", "internationally internally", "inter national", "international"):
+        counter.count(*strings(pa.array([text])))
+        sizes.append(counter.trie.size)
+    assert sizes == [15, 20, 28, 28]
+
+
+@pytest.mark.parametrize("stretch", [50, 1 << 16])
+def test_long_words(monkeypatch, stretch):
+    monkeypatch.setattr(trie_counts, "STRETCH", stretch)
+    monkeypatch.setattr(trie_counts, "FEW", 5)
+    pieces = trie_counts.Pieces.open(vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdetionhé日") for _ in range(n)) for n in (1, 64, 65, 66, 300, 1000, 4000)]
+    words += [words[4] + "x", words[4][:200] + "y" * 400, "z" * 3000]
+    for some in (words, words[::-1], words[6:]):
+        raw, at = strings(pa.array([" ".join(some)]))
+        want = sum(viterbi(bytes([trie_counts.MARK]) + w.encode(), pieces.scores) for w in some)
+        assert trie_counts.Counter(pieces).count(raw, at)[1].tolist() == [want]

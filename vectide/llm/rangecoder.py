@@ -1,12 +1,15 @@
 """Adaptive context-mixing range coder for token ids, in independent blocks.
 
-Each block starts from nothing. For the next id three models speak: order 2 and order 1
-name the id that last followed the same two ids, or the same one (hashed tables with a
-confidence of 0 to 3); order 0 gives every id its frequency in the block up to the last
-power of two. An adaptive mixture, one for each pair of confidences, weighs order 2,
-order 1, order 0 and a uniform distribution over the vocabulary by how often each of
-them was the first to be right; the id is coded by a range coder of 48 bits with the
-weight of that model times its share within the model.
+Each block starts from nothing. Ids are numbered in order of their first occurrence in the block. For the next
+number three models speak: order 2 and order 1 name the one that last followed the same two, or the same one, with a
+confidence of 0 to 3; order 0 gives every number its frequency, renewed as the block grows by a fifth; numbers that
+are newer than that count as seen once. Their shares are added up: the probability of a number is
+
+    (w2 [order 2 names it] + w1 [order 1 names it] + w0 n(number) / n) / (w2 + w1 + w0 + w3)
+
+where w3 is the share of an id not met before, which is coded evenly over the vocabulary. The weights adapt, one set for each
+pair of confidences and for whether both orders name the same. A number's interval is its place among the numbers in order, so one
+range coder of 48 bits codes it in one step.
 
 Blocks are coded side by side, one numpy lane for each, so a step costs the same few array
 operations for hundreds of blocks; any block can be decoded alone. A block carries its
@@ -23,247 +26,296 @@ import numpy as np
 BLOCK = 4096
 LANES = 2048
 _HEAD = struct.Struct("<4sIIIII")  # magic, steps, ids, crc32 of the ids, vocabulary, words
-_MAGIC = b"vrc2"
-_BITS1, _BITS2 = 12, 13
-_FIRST = 32  # the first step at which order 0 speaks
-_GAIN, _MOST, _EVERY = 24.0, 4096.0, 64
-#: The interval has 48 bits and is never below 32; words of 16 go out. All of it is exact in doubles:
-#: a quotient by a total below 2**16 cannot round up to the next integer.
+_MAGIC = b"vrc3"
+_BITS2 = 12
+_GAIN, _MOST, _EVERY = 24.0, 1500.0, 64
+#: The interval has 48 bits and is never below 32; words of 16 go out. All of it is exact in doubles, for
+#: weights stay below 2**13 and blocks at 2**14 ids.
 _FULL, _LOW, _WORD = float(1 << 48), float(1 << 32), float(1 << 16)
+LONGEST = 1 << 14
+
+
+def _renewals(steps: int) -> set[int]:
+    """The steps at which order 0 is counted anew."""
+    out, t = set(), 8
+    while t < steps:
+        out.add(t)
+        t = max(t + 4, t * 6 // 5)
+    return out
 
 
 class Model:
-    """The state of all lanes; ``predict`` and ``update`` are the same for both directions.
-
-    An entry of a table is the id that came last, shifted by two, and its confidence."""
-
-    def __init__(self, lanes: int):
-        self.lanes = lanes
-        self.last = np.zeros(lanes, np.uint32)
-        self.before = np.zeros(lanes, np.uint32)  # the id before the last, hashed
-        self.t1 = np.zeros(lanes << _BITS1, np.uint32)
-        self.t2 = np.zeros(lanes << _BITS2, np.uint32)
-        self.base1 = np.arange(lanes, dtype=np.int64) << _BITS1
-        self.base2 = np.arange(lanes, dtype=np.int64) << _BITS2
-        self.base = np.arange(lanes, dtype=np.int64) << 4
+    """The state of all lanes, the same for both directions. An entry of a table is the number
+    that came last, shifted by two, and its confidence. Arrays of two rows hold order 1 and order 2."""
+
+    def __init__(self, lanes: int, steps: int):
+        self.lanes, self.steps, self.t, self.since = lanes, steps, 0, 0
+        self.renewals = _renewals(steps)
         self.lane = np.arange(lanes, dtype=np.int64)
-        start = np.array([[(1 + 40 * (k >> 2), 1 + 20 * (k & 3), 60, 40)[m] for k in range(16)] for m in range(4)], float)
-        self.weights = np.tile(start, (1, lanes))  # (model, lane and confidences)
+        self.base = self.lane * steps
+        self.base_w = self.lane << 5
+        self.base_2 = lanes * steps + (self.lane << _BITS2)
+        self.table = np.zeros(lanes * (steps + (1 << _BITS2)), np.uint16)  # order 1, then order 2
+        self.slots = np.empty((2, lanes), np.int64)
+        self.history = np.zeros((steps, lanes), np.uint16)
+        self.count = np.zeros((lanes, steps), np.uint16)
+        self.place = np.zeros((lanes, steps), np.uint32)  # by number: ids before it << 16 | its own count, by order 0
+        self.at_place = self.place.reshape(-1)
+        self.known = np.zeros(lanes, np.int64)  # numbers in use
+        self.then = np.zeros(lanes, np.int64)  # numbers in use when order 0 was counted
+        self.n = np.ones(lanes)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        start = [[(1 + 20 * (k & 3), 1 + 40 * (k >> 2 & 3), 60, 40)[m] for k in range(32)] for m in range(4)]
+        self.weights = np.tile(np.array(start, float), (1, lanes))  # (order 1, order 2, order 0, new; lane and context)
         self.flat = self.weights.reshape(-1)
-        self.h, self.w = np.empty(lanes, np.uint32), np.empty((4, lanes))
-        self.i1, self.i2, self.ctx = (np.empty(lanes, np.int64) for _ in range(3))
-        self.e1, self.e2, self.p1, self.p2 = (np.empty(lanes, np.uint32) for _ in range(4))
-        self.steps = 0
 
     def predict(self):
-        """Fills p1, p2 and the cumulative weights ``ends`` of the four models; returns ``ends``."""
-        h = self.h
-        np.multiply(self.last, np.uint32(0x9E3779B1), out=h)
-        np.right_shift(h, np.uint32(32 - _BITS1), out=h)
-        np.add(h, self.base1, out=self.i1)
-        np.multiply(self.last, np.uint32(0x85EBCA6B), out=h)
-        np.add(h, self.before, out=h)
-        np.right_shift(h, np.uint32(32 - _BITS2), out=h)
-        np.add(h, self.base2, out=self.i2)
-        self.t1.take(self.i1, out=self.e1, mode="clip")
-        self.t2.take(self.i2, out=self.e2, mode="clip")
-        np.bitwise_and(self.e2, np.uint32(3), out=h)
-        np.left_shift(h, np.uint32(2), out=h)
-        np.bitwise_and(self.e1, np.uint32(3), out=self.p1)
-        np.bitwise_or(h, self.p1, out=h)
-        np.add(h, self.base, out=self.ctx)
-        np.right_shift(self.e1, np.uint32(2), out=self.p1)
-        np.right_shift(self.e2, np.uint32(2), out=self.p2)
-        w = self.weights.take(self.ctx, axis=1, mode="clip")
-        np.add(w[1], w[0], out=w[1])
-        np.add(w[2], w[1], out=w[2])
-        np.add(w[3], w[2], out=w[3])
-        self.ends = w
-        return w
-
-    def pick(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the weight of each lane's outcome begins, and how large it is."""
-        at = outcome * self.lanes
-        at += self.lane
-        end = self.ends.reshape(-1).take(at)
-        self.place = outcome * (16 * self.lanes)
-        self.place += self.ctx
-        share = self.flat.take(self.place)
-        return end - share, share
-
-    def update(self, ids: np.ndarray, share: np.ndarray):
-        """ids: what came; share: the weight of its outcome, from ``pick``."""
-        self.flat[self.place] = share + _GAIN
-        self.steps += 1
-        if self.steps % _EVERY == 0:
+        """Candidates p, shares z (order 1, order 2, order 0, new), and the sums of the shares of old numbers and of all."""
+        np.add(self.base, self.last, out=self.slots[0])
+        h = self.last * 0x9E3779B1
+        h += self.before
+        h >>= 9
+        h &= (1 << _BITS2) - 1
+        np.add(h, self.base_2, out=self.slots[1])
+        self.e = self.table.take(self.slots).astype(np.int64)
+        self.p = self.e >> 2
+        sure = self.e & 3
+        self.same = self.p[0] == self.p[1]
+        ctx = sure[1] << 2
+        ctx |= sure[0]
+        ctx += self.same * 16
+        ctx += self.base_w
+        self.ctx = ctx
+        w = self.weights.take(ctx, axis=1)
+        self.w0 = w[2]
+        self.z = w * self.n
+        self.old = self.z[0] + self.z[1]
+        self.old += self.z[2]
+        self.total = self.old + self.z[3]
+
+    def facts(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Share of order 0 before and of each number."""
+        f = self.at_place.take(self.base + d)
+        return self.w0 * (f >> np.uint32(16)), self.w0 * (f & np.uint32(0xFFFF))
+
+    def interval(self, d: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the share of each lane's number begins, and how large it is; new: lanes whose id is new."""
+        begin, size = self.facts(d)
+        own = self.z[:2]
+        self.hit = self.p == d
+        below = own * (self.p < d)
+        begin += below[0]
+        begin += below[1]
+        named = own * self.hit
+        size += named[0]
+        size += named[1]
+        if len(new):
+            begin[new] = self.old[new]
+            size[new] = self.z[3][new]
+            self.hit[:, new] = False
+        return begin, size
+
+    def update(self, d: np.ndarray, new: np.ndarray):
+        which = np.where(self.hit[1], 1, np.where(self.hit[0], 0, 2))
+        if len(new):
+            which[new] = 3
+            self.at_place[self.base[new] + d[new]] = ((self.since + d[new] - self.then[new]) << 16 | 1).astype(np.uint32)
+            self.known[new] += 1
+        which *= 32 * self.lanes
+        which += self.ctx
+        self.flat[which] += _GAIN
+        more = self.e + 1
+        np.minimum(more, self.e | 3, out=more)
+        self.table[self.slots] = np.where(self.hit, more, (d << 2) | 1)
+        self.history[self.t] = d
+        self.before, self.last = self.last * 0xC2B2AE35, d
+        self.t += 1
+        if self.t % _EVERY == 0:
             full = np.flatnonzero(self.weights.sum(0) > _MOST)
             if len(full):
                 self.weights[:, full] = np.floor(self.weights[:, full] / 2) + 1
-        new = (ids << np.uint32(2)) | np.uint32(1)
-        for table, at, e, p in ((self.t1, self.i1, self.e1, self.p1), (self.t2, self.i2, self.e2, self.p2)):
-            more = np.minimum(e + np.uint32(1), e | np.uint32(3))
-            table[at] = np.where(p == ids, more, new)
-        np.multiply(self.last, np.uint32(0xC2B2AE35), out=self.before)
-        self.last = ids
+        if self.t in self.renewals:
+            self.renew()
+        elif len(new):
+            self.n[new] = np.maximum(1, self.since + self.known[new] - self.then[new])
+
+    def renew(self):
+        """Counts order 0 anew."""
+        wide = int(self.known.max())
+        np.add.at(self.count.reshape(-1), self.history[self.since : self.t].astype(np.int64) + self.base, np.uint16(1))
+        own = self.count[:, :wide].astype(np.uint32)
+        ends = np.cumsum(own, axis=1, dtype=np.uint32)
+        self.place[:, :wide] = (ends - own) << np.uint32(16) | own
+        self.since = self.t
+        self.then[:] = self.known
+        self.n[:] = self.t
+
+    def numbers(self) -> np.ndarray:
+        """The number at each place of order 0, lane after lane."""
+        wide = max(1, int(self.then.max()))
+        return np.repeat(np.tile(np.arange(wide, dtype=np.uint16), self.lanes), self.count[:, :wide].reshape(-1)) if self.since else np.zeros(self.lanes, np.uint16)
+
+
+def _numbered(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, lanes): the number of each id by first occurrence in its lane, and where that is."""
+    lanes, steps = ids.shape
+    number, new = np.zeros((lanes, steps), np.int64), np.zeros((lanes, steps), bool)
+    first, at = np.zeros(vocabulary, np.int64), np.arange(steps)
+    for k in range(lanes):
+        row = ids[k]
+        first[row[::-1]] = at[::-1]
+        where = first[row]
+        new[k] = where == at
+        number[k] = (np.cumsum(new[k]) - 1)[where]
+    return np.ascontiguousarray(number.T), np.ascontiguousarray(new.T)
+
 
+class _Out:
+    """The range coder's lower ends and words of all lanes."""
 
-def _runs(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the ids so far, (lanes, steps): sorted in each lane; in one row, of the place where
-    each run of an id begins, the place in its lane and the length."""
-    rows = np.sort(seen, axis=1)
-    new = np.ones(rows.shape, bool)
-    np.not_equal(rows[:, 1:], rows[:, :-1], out=new[:, 1:])
-    edge = np.flatnonzero(new)
-    return rows, edge, np.diff(np.append(edge, rows.size))
+    def __init__(self, lanes: int, wide: int):
+        self.low, self.span = np.zeros(lanes), np.full(lanes, _FULL)
+        self.words = np.zeros(lanes * wide, np.uint16)
+        self.wide, self.pos = wide, np.arange(lanes) * wide
+
+    def settle(self, at: np.ndarray | None = None):
+        """Carries, then words that are certain."""
+        over = np.flatnonzero(self.low >= _FULL)
+        if len(over):
+            self.low[over] -= _FULL
+            carry = self.pos[over] - 1
+            while len(carry):
+                self.words[carry] += np.uint16(1)
+                carry = carry[self.words[carry] == 0] - 1
+        at = np.flatnonzero(self.span < _LOW)
+        while len(at):
+            top = np.floor(self.low[at] / _LOW)
+            self.words[self.pos[at]] = top
+            self.pos[at] += 1
+            self.low[at] = (self.low[at] - top * _LOW) * _WORD
+            self.span[at] *= _WORD
+            at = at[self.span[at] < _LOW]
+
+    def even(self, at: np.ndarray, value: np.ndarray, most: int):
+        """Codes values below ``most``, all as likely, in the lanes ``at``."""
+        r = np.floor(self.span[at] / most)
+        self.low[at] += r * value
+        self.span[at] = r
+        self.settle()
 
 
 def _encode(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
     """ids: (lanes, steps). The words of each lane."""
     lanes, steps = ids.shape
-    model, lane = Model(lanes), np.arange(lanes)
-    low, span = np.zeros(lanes), np.full(lanes, _FULL)
-    wide = 2 * steps + 8
-    out = np.zeros(lanes * wide, np.uint16)
-    pos = lane * wide
+    model, out = Model(lanes, steps), _Out(lanes, 3 * steps + 8)
+    number, first = _numbered(ids, vocabulary)
     across = np.ascontiguousarray(ids.T)
-    table = np.zeros(vocabulary, np.uint32)
-    known = np.zeros((0, lanes), np.uint32)  # first place << 16 | count, by order 0
-    seen = 0
     for t in range(steps):
-        if t >= _FIRST and t & (t - 1) == 0:
-            seen = t
-            rows, edge, length = _runs(ids[:, :t])
-            value = (edge % t).astype(np.uint32) << np.uint32(16) | length.astype(np.uint32)
-            which = rows.reshape(-1)[edge]
-            cut = np.searchsorted(edge, np.arange(lanes + 1) * t).tolist()
-            found = np.empty((lanes, min(t, steps - t)), np.uint32)
-            for k in range(lanes):
-                own = which[cut[k] : cut[k + 1]]
-                table[own] = value[cut[k] : cut[k + 1]]
-                table.take(ids[k, t : 2 * t], out=found[k], mode="clip")
-                table[own] = 0
-            known = np.ascontiguousarray(found.T)
-        now = across[t]
-        ends = model.predict()
-        facts = known[t - seen] if seen else np.zeros(lanes, np.uint32)
-        outcome = np.where(facts > 0, 2, 3)
-        outcome[now == model.p1] = 1
-        outcome[now == model.p2] = 0
-        start, share = model.pick(outcome)
-        r = np.floor(span / ends[3])
-        low += r * start
-        span = r * share
-        at = np.flatnonzero(outcome == 2)
-        if len(at):
-            f = facts[at]
-            r = np.floor(span[at] / seen)
-            low[at] += r * (f >> np.uint32(16))
-            span[at] = r * (f & np.uint32(0xFFFF))
-        at = np.flatnonzero(outcome == 3)
-        if len(at):
-            r = np.floor(span[at] / vocabulary)
-            low[at] += r * now[at]
-            span[at] = r
-        over = np.flatnonzero(low >= _FULL)
-        if len(over):
-            low[over] -= _FULL
-            _carry(out, pos[over] - 1)
-        at = np.flatnonzero(span < _LOW)
-        while len(at):
-            top = np.floor(low[at] / _LOW)
-            out[pos[at]] = top
-            pos[at] += 1
-            low[at] = (low[at] - top * _LOW) * _WORD
-            span[at] *= _WORD
-            at = at[span[at] < _LOW]
-        model.update(now, share)
+        new = np.flatnonzero(first[t])
+        model.predict()
+        begin, size = model.interval(number[t], new)
+        r = np.floor(out.span / model.total)
+        out.low += r * begin
+        out.span = r * size
+        out.settle()
+        if len(new):
+            value = across[t, new]
+            if vocabulary > 1 << 16:
+                out.even(new, value >> 16, -(-vocabulary >> 16))
+            out.even(new, value & 0xFFFF, min(vocabulary, 1 << 16))
+        model.update(number[t], new)
     for _ in range(3):
-        top = np.floor(low / _LOW)
-        out[pos] = top
-        pos += 1
-        low = (low - top * _LOW) * _WORD
-    return [out[k * wide : pos[k]] for k in range(lanes)]
+        top = np.floor(out.low / _LOW)
+        out.words[out.pos] = top
+        out.pos += 1
+        out.low = (out.low - top * _LOW) * _WORD
+    return [out.words[k * out.wide : out.pos[k]] for k in range(lanes)]
 
 
-def _carry(out: np.ndarray, at: np.ndarray):
-    while len(at):
-        out[at] += np.uint16(1)
-        at = at[out[at] == 0] - 1
+class _In:
+    """The words of all lanes and what of them is taken in."""
 
+    def __init__(self, words: list[np.ndarray]):
+        size = np.array([len(x) for x in words])
+        self.words = np.concatenate([*words, np.zeros(4, "<u2")]).astype(np.uint16)
+        pos = np.cumsum(size) - size
+        head = self.words[pos[:, None] + np.arange(3)].astype(float)
+        self.x = (head[:, 0] * _WORD + head[:, 1]) * _WORD + head[:, 2]
+        self.pos = pos + 3
+        self.span = np.full(len(words), _FULL)
 
-def _decode(words: list[np.ndarray], steps: int, vocabulary: int) -> np.ndarray:
-    """The ids, (lanes, steps)."""
-    lanes = len(words)
-    model, lane = Model(lanes), np.arange(lanes)
-    size = np.array([len(x) for x in words])
-    table = np.concatenate([*words, np.zeros(4, "<u2")]).astype(float)
-    pos = np.cumsum(size) - size
-    x = (table[pos] * _WORD + table[pos + 1]) * _WORD + table[pos + 2]
-    pos += 3
-    span = np.full(lanes, _FULL)
-    ids = np.zeros((steps, lanes), np.uint32)
-    hist = np.zeros(0, np.uint64)  # id << 32 | first place << 16 | count
-    seen = 0
-    for t in range(steps):
-        if t >= _FIRST and t & (t - 1) == 0:
-            seen = t
-            rows, edge, length = _runs(np.ascontiguousarray(ids[:t].T))
-            value = (edge % t).astype(np.uint64) << np.uint64(16) | length.astype(np.uint64)
-            hist = np.repeat(value, length)
-            hist |= rows.reshape(-1).astype(np.uint64) << np.uint64(32)
-        ends = model.predict()
-        r = np.floor(span / ends[3])
-        outcome = (x >= r * ends[0]).astype(np.int64)
-        outcome += x >= r * ends[1]
-        outcome += x >= r * ends[2]
-        start, share = model.pick(outcome)
-        x -= r * start
-        span = r * share
-        now = np.where(outcome == 0, model.p2, model.p1)
-        at = np.flatnonzero(outcome == 2)
-        if len(at):
-            r = np.floor(span[at] / max(seen, 1))
-            slot = _slot(x[at], r)
-            f = hist.take(at * seen + slot.astype(np.int64), mode="clip") if seen else np.zeros(len(at), np.uint64)
-            now[at] = f >> np.uint64(32)
-            x[at] -= r * ((f >> np.uint64(16)) & np.uint64(0xFFFF))
-            span[at] = r * (f & np.uint64(0xFFFF))
-        at = np.flatnonzero(outcome == 3)
-        if len(at):
-            r = np.floor(span[at] / vocabulary)
-            slot = _slot(x[at], r)
-            now[at] = np.minimum(slot, vocabulary - 1)
-            x[at] -= r * slot
-            span[at] = r
-        at = np.flatnonzero(span < _LOW)
+    def settle(self):
+        at = np.flatnonzero(self.span < _LOW)
         while len(at):
-            if span[at].min() < 1:
+            if self.span[at].min() < 1:
                 raise ValueError("a block is not what was written")
-            x[at] = x[at] * _WORD + table.take(pos[at], mode="clip")
-            pos[at] += 1
-            span[at] *= _WORD
-            at = at[span[at] < _LOW]
-        model.update(now, share)
-        ids[t] = now
-    return ids.T
+            self.x[at] = self.x[at] * _WORD + self.words.take(self.pos[at], mode="clip")
+            self.pos[at] += 1
+            self.span[at] *= _WORD
+            at = at[self.span[at] < _LOW]
 
+    def even(self, at: np.ndarray, most: int) -> np.ndarray:
+        r = np.floor(self.span[at] / most)
+        value = np.minimum(np.floor(self.x[at] / np.maximum(r, 1)), most - 1)
+        self.x[at] -= r * value
+        self.span[at] = r
+        self.settle()
+        return value.astype(np.int64)
 
-def _slot(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """x // r: a quotient that rounded up to an integer is set back."""
-    slot = np.floor(x / r)
-    slot -= r * slot > x
-    return np.maximum(slot, 0)
+
+def _decode(words: list[np.ndarray], steps: int, vocabulary: int) -> np.ndarray:
+    """The ids, (lanes, steps)."""
+    lanes = len(words)
+    model, code = Model(lanes, steps), _In(words)
+    ids = np.zeros((lanes, steps), np.uint32)  # by number
+    numbers, renewed = model.numbers(), 0
+    for t in range(steps):
+        if model.since != renewed:
+            numbers, renewed = model.numbers(), model.since
+        model.predict()
+        m, wide = model, max(1, renewed)
+        r = np.floor(code.span / m.total)
+        y = np.floor(code.x / r)
+        np.minimum(y, m.total - 1, out=y)
+        begin, end = m.facts(m.p)
+        other = m.z[1::-1]
+        begin += other * (m.p[::-1] < m.p)
+        end += begin
+        end += m.z[:2]
+        end += other * m.same
+        past = y >= end
+        inside = y >= begin
+        inside &= ~past
+        below = m.z[:2] * past
+        slot = (y - below[0] - below[1]) / m.w0
+        slot = slot.astype(np.int64)
+        at = np.minimum(slot, wide - 1)
+        at += m.lane * wide
+        d = np.where(slot >= renewed, m.then + slot - renewed, numbers.take(at, mode="clip"))
+        d = np.where(inside[0], m.p[0], d)
+        d = np.where(inside[1], m.p[1], d)
+        new = np.flatnonzero(y >= m.old)
+        d[new] = m.known[new]
+        begin, size = m.interval(d, new)
+        code.x -= r * begin
+        code.span = r * size
+        code.settle()
+        if len(new):
+            high = code.even(new, -(-vocabulary >> 16)) << 16 if vocabulary > 1 << 16 else 0
+            ids[new, d[new]] = np.minimum(high | code.even(new, min(vocabulary, 1 << 16)), vocabulary - 1)
+        model.update(d, new)
+    return np.take_along_axis(ids, model.history.T.astype(np.int64), axis=1)
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[bytes]:
-    """The blocks of a row of ids below ``vocabulary`` (2**16 at most), ``block`` ids in each but the last."""
+    """The blocks of a row of ids below ``vocabulary``, ``block`` ids in each but the last."""
     if not len(ids):
         return []
-    if int(ids.max()) >= vocabulary or vocabulary > 1 << 16:
-        raise ValueError("an id is not below the vocabulary's size")
+    if int(ids.max()) >= vocabulary or not 0 < block <= LONGEST:
+        raise ValueError("an id is not below the vocabulary's size, or a block is too long")
     n = -(-len(ids) // block)
     steps = min(block, len(ids))
-    padded = np.full(n * steps, ids[-1], np.uint32)
+    padded = np.full(n * steps, ids[-1], np.int64)
     padded[: len(ids)] = ids
     grid = padded.reshape(n, steps)
     lots = -(-n // LANES)
@@ -284,7 +336,7 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     """The ids of blocks, end to end. ValueError where a block is not what was written."""
     heads = []
     for b in blocks:
-        if len(b) < _HEAD.size or (h := _HEAD.unpack_from(b))[0] != _MAGIC or len(b) != _HEAD.size + 2 * h[5] or h[2] > h[1] or h[5] < 3:
+        if len(b) < _HEAD.size or (h := _HEAD.unpack_from(b))[0] != _MAGIC or len(b) != _HEAD.size + 2 * h[5] or not 0 < h[2] <= h[1] <= LONGEST or h[5] < 3 or not h[4]:
             raise ValueError("not a block of ids")
         heads.append(h)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
