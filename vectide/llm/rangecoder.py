@@ -7,7 +7,7 @@ are newer than that count as seen once. Their shares are added up: the probabili
 
     (w2 [order 2 names it] + w1 [order 1 names it] + w0 n(number) / n) / (w2 + w1 + w0 + w3)
 
-where w3 is the share of an id not met before, which is coded evenly over the vocabulary. The weights adapt, one set for each
+where w3 is the share of an id not met before, which is coded by its number of bits (by how often new ids of the block had as many), then evenly. The weights adapt, one set for each
 pair of confidences and for whether both orders name the same. A number's interval is its place among the numbers in order, so one
 range coder of 48 bits codes it in one step.
 
@@ -29,6 +29,7 @@ _HEAD = struct.Struct("<4sIIIII")  # magic, steps, ids, crc32 of the ids, vocabu
 _MAGIC = b"vrc3"
 _BITS2 = 12
 _GAIN, _MOST, _EVERY = 24.0, 1500.0, 64
+_BITS_GAIN = 4.0
 #: The interval has 48 bits and is never below 32; words of 16 go out. All of it is exact in doubles, for
 #: weights stay below 2**13 and blocks at 2**14 ids.
 _FULL, _LOW, _WORD = float(1 << 48), float(1 << 32), float(1 << 16)
@@ -48,8 +49,9 @@ class Model:
     """The state of all lanes, the same for both directions. An entry of a table is the number
     that came last, shifted by two, and its confidence. Arrays of two rows hold order 1 and order 2."""
 
-    def __init__(self, lanes: int, steps: int):
+    def __init__(self, lanes: int, steps: int, vocabulary: int):
         self.lanes, self.steps, self.t, self.since = lanes, steps, 0, 0
+        self.bits = np.ones((lanes, (vocabulary - 1).bit_length() + 1))  # of new ids, by number of bits
         self.renewals = _renewals(steps)
         self.lane = np.arange(lanes, dtype=np.int64)
         self.base = self.lane * steps
@@ -196,7 +198,7 @@ class _Out:
             self.span[at] *= _WORD
             at = at[self.span[at] < _LOW]
 
-    def even(self, at: np.ndarray, value: np.ndarray, most: int):
+    def even(self, at: np.ndarray, value: np.ndarray, most: np.ndarray):
         """Codes values below ``most``, all as likely, in the lanes ``at``."""
         r = np.floor(self.span[at] / most)
         self.low[at] += r * value
@@ -207,7 +209,7 @@ class _Out:
 def _encode(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
     """ids: (lanes, steps). The words of each lane."""
     lanes, steps = ids.shape
-    model, out = Model(lanes, steps), _Out(lanes, 3 * steps + 8)
+    model, out = Model(lanes, steps, vocabulary), _Out(lanes, 4 * steps + 8)
     number, first = _numbered(ids, vocabulary)
     across = np.ascontiguousarray(ids.T)
     for t in range(steps):
@@ -220,9 +222,21 @@ def _encode(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
         out.settle()
         if len(new):
             value = across[t, new]
-            if vocabulary > 1 << 16:
-                out.even(new, value >> 16, -(-vocabulary >> 16))
-            out.even(new, value & 0xFFFF, min(vocabulary, 1 << 16))
+            bits = np.frexp(value)[1]
+            own = model.bits[new]
+            ends = np.cumsum(own, axis=1)
+            at = np.arange(len(new)), bits
+            r = np.floor(out.span[new] / ends[:, -1])
+            out.low[new] += r * (ends[at] - own[at])
+            out.span[new] = r * own[at]
+            out.settle()
+            model.bits[new, bits] += _BITS_GAIN
+            # The highest bit is known.
+            rest = np.maximum(bits - 1, 0)
+            value = value - (1 << rest) * (bits > 0)
+            if vocabulary > 1 << 17:
+                out.even(new, value >> 16, 1 << np.maximum(rest - 16, 0))
+            out.even(new, value & 0xFFFF, 1 << np.minimum(rest, 16))
         model.update(number[t], new)
     for _ in range(3):
         top = np.floor(out.low / _LOW)
@@ -254,7 +268,7 @@ class _In:
             self.span[at] *= _WORD
             at = at[self.span[at] < _LOW]
 
-    def even(self, at: np.ndarray, most: int) -> np.ndarray:
+    def even(self, at: np.ndarray, most: np.ndarray) -> np.ndarray:
         r = np.floor(self.span[at] / most)
         value = np.minimum(np.floor(self.x[at] / np.maximum(r, 1)), most - 1)
         self.x[at] -= r * value
@@ -266,7 +280,7 @@ class _In:
 def _decode(words: list[np.ndarray], steps: int, vocabulary: int) -> np.ndarray:
     """The ids, (lanes, steps)."""
     lanes = len(words)
-    model, code = Model(lanes, steps), _In(words)
+    model, code = Model(lanes, steps, vocabulary), _In(words)
     ids = np.zeros((lanes, steps), np.uint32)  # by number
     numbers, renewed = model.numbers(), 0
     for t in range(steps):
@@ -301,8 +315,20 @@ def _decode(words: list[np.ndarray], steps: int, vocabulary: int) -> np.ndarray:
         code.span = r * size
         code.settle()
         if len(new):
-            high = code.even(new, -(-vocabulary >> 16)) << 16 if vocabulary > 1 << 16 else 0
-            ids[new, d[new]] = np.minimum(high | code.even(new, min(vocabulary, 1 << 16)), vocabulary - 1)
+            own = model.bits[new]
+            ends = np.cumsum(own, axis=1)
+            r = np.floor(code.span[new] / ends[:, -1])
+            y = np.minimum(np.floor(code.x[new] / r), ends[:, -1] - 1)
+            bits = (ends <= y[:, None]).sum(1)
+            at = np.arange(len(new)), bits
+            code.x[new] -= r * (ends[at] - own[at])
+            code.span[new] = r * own[at]
+            code.settle()
+            model.bits[new, bits] += _BITS_GAIN
+            rest = np.maximum(bits - 1, 0)
+            high = code.even(new, 1 << np.maximum(rest - 16, 0)) << 16 if vocabulary > 1 << 17 else 0
+            value = (high | code.even(new, 1 << np.minimum(rest, 16))) + (1 << rest) * (bits > 0)
+            ids[new, d[new]] = np.minimum(value, vocabulary - 1)
         model.update(d, new)
     return np.take_along_axis(ids, model.history.T.astype(np.int64), axis=1)
 
