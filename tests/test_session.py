@@ -244,3 +244,15 @@ def test_the_shared_folder_must_be_named_on_a_cluster(monkeypatch):
         else:
             with pytest.raises(ValueError):
                 scratch_root(session)
+
+
+def test_scratch_can_be_cleared(spark):
+    from pathlib import Path
+
+    from vectide.sources import storage
+
+    df = storage.scratch_table(spark.range(5), "some")
+    folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists() and df.count() == 5
+    storage.clear_scratch(spark)
+    assert not folder.exists()
