@@ -506,6 +506,7 @@ class Groups:
 
 def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; similarity num / den or more links."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     groups = Groups(docs.where("doc_id IS NOT NULL"), k, num, den)
     groups.link()
     mixed = groups.repeated.where("lo <> hi")
