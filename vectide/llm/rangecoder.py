@@ -45,6 +45,10 @@ def _renewals(steps: int) -> set[int]:
     return out
 
 
+#: By what came true, order 2 and order 1: the model whose weight grows.
+_WHICH = np.array([2, 0, 1, 1])
+
+
 class Model:
     """The state of all lanes, the same for both directions. An entry of a table is the number
     that came last, shifted by two, and its confidence. Arrays of two rows hold order 1 and order 2."""
@@ -67,9 +71,10 @@ class Model:
         self.then = np.zeros(lanes, np.int64)  # numbers in use when order 0 was counted
         self.n = np.ones(lanes)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        start = [[(1 + 20 * (k & 3), 1 + 40 * (k >> 2 & 3), 60, 40)[m] for k in range(32)] for m in range(4)]
-        self.weights = np.tile(np.array(start, float), (1, lanes))  # (order 1, order 2, order 0, new; lane and context)
+        start = [(1 + 20 * (k & 3), 1 + 40 * (k >> 2 & 3), 60, 40) for k in range(32)]
+        self.weights = np.tile(np.array(start, float), (lanes, 1))  # by lane and context: order 1, order 2, order 0, new
         self.flat = self.weights.reshape(-1)
+        self.z = np.empty((4, lanes))
 
     def predict(self):
         """Candidates p, shares z (order 1, order 2, order 0, new), and the sums of the shares of old numbers and of all."""
@@ -88,9 +93,9 @@ class Model:
         ctx += self.same * 16
         ctx += self.base_w
         self.ctx = ctx
-        w = self.weights.take(ctx, axis=1)
-        self.w0 = w[2]
-        self.z = w * self.n
+        w = self.weights.take(ctx, axis=0)
+        self.w0 = w[:, 2].copy()
+        np.multiply(w.T, self.n, out=self.z)
         self.old = self.z[0] + self.z[1]
         self.old += self.z[2]
         self.total = self.old + self.z[3]
@@ -118,24 +123,24 @@ class Model:
         return begin, size
 
     def update(self, d: np.ndarray, new: np.ndarray):
-        which = np.where(self.hit[1], 1, np.where(self.hit[0], 0, 2))
+        which = _WHICH.take(self.hit[1].view(np.uint8) * np.uint8(2) + self.hit[0].view(np.uint8))
         if len(new):
             which[new] = 3
             self.at_place[self.base[new] + d[new]] = ((self.since + d[new] - self.then[new]) << 16 | 1).astype(np.uint32)
             self.known[new] += 1
-        which *= 32 * self.lanes
+        self.ctx *= 4
         which += self.ctx
         self.flat[which] += _GAIN
         more = self.e + 1
         np.minimum(more, self.e | 3, out=more)
-        self.table[self.slots] = np.where(self.hit, more, (d << 2) | 1)
+        self.table[self.slots] = np.where(self.hit, more, (d << 2) | 1).astype(np.uint16)
         self.history[self.t] = d
         self.before, self.last = self.last * 0xC2B2AE35, d
         self.t += 1
         if self.t % _EVERY == 0:
-            full = np.flatnonzero(self.weights.sum(0) > _MOST)
+            full = np.flatnonzero(self.weights.sum(1) > _MOST)
             if len(full):
-                self.weights[:, full] = np.floor(self.weights[:, full] / 2) + 1
+                self.weights[full] = np.floor(self.weights[full] / 2) + 1
         if self.t in self.renewals:
             self.renew()
         elif len(new):
@@ -161,8 +166,8 @@ class Model:
 def _numbered(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """(steps, lanes): the number of each id by first occurrence in its lane, and where that is."""
     lanes, steps = ids.shape
-    number, new = np.zeros((lanes, steps), np.int64), np.zeros((lanes, steps), bool)
-    first, at = np.zeros(vocabulary, np.int64), np.arange(steps)
+    number, new = np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), bool)
+    first, at = np.zeros(vocabulary, np.int32), np.arange(steps, dtype=np.int32)
     for k in range(lanes):
         row = ids[k]
         first[row[::-1]] = at[::-1]
@@ -180,16 +185,16 @@ class _Out:
         self.words = np.zeros(lanes * wide, np.uint16)
         self.wide, self.pos = wide, np.arange(lanes) * wide
 
-    def settle(self, at: np.ndarray | None = None):
-        """Carries, then words that are certain."""
-        over = np.flatnonzero(self.low >= _FULL)
+    def settle(self, some: np.ndarray | None = None):
+        """Carries, then words that are certain, in all lanes or some."""
+        over = np.flatnonzero(self.low >= _FULL) if some is None else some[self.low[some] >= _FULL]
         if len(over):
             self.low[over] -= _FULL
             carry = self.pos[over] - 1
             while len(carry):
                 self.words[carry] += np.uint16(1)
                 carry = carry[self.words[carry] == 0] - 1
-        at = np.flatnonzero(self.span < _LOW)
+        at = np.flatnonzero(self.span < _LOW) if some is None else some[self.span[some] < _LOW]
         while len(at):
             top = np.floor(self.low[at] / _LOW)
             self.words[self.pos[at]] = top
@@ -203,7 +208,7 @@ class _Out:
         r = np.floor(self.span[at] / most)
         self.low[at] += r * value
         self.span[at] = r
-        self.settle()
+        self.settle(at)
 
 
 def _encode(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
@@ -215,13 +220,14 @@ def _encode(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
     for t in range(steps):
         new = np.flatnonzero(first[t])
         model.predict()
-        begin, size = model.interval(number[t], new)
+        d = number[t].astype(np.int64)
+        begin, size = model.interval(d, new)
         r = np.floor(out.span / model.total)
         out.low += r * begin
         out.span = r * size
         out.settle()
         if len(new):
-            value = across[t, new]
+            value = across[t, new].astype(np.int64)
             bits = np.frexp(value)[1]
             own = model.bits[new]
             ends = np.cumsum(own, axis=1)
@@ -229,15 +235,15 @@ def _encode(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
             r = np.floor(out.span[new] / ends[:, -1])
             out.low[new] += r * (ends[at] - own[at])
             out.span[new] = r * own[at]
-            out.settle()
             model.bits[new, bits] += _BITS_GAIN
             # The highest bit is known.
             rest = np.maximum(bits - 1, 0)
             value = value - (1 << rest) * (bits > 0)
             if vocabulary > 1 << 17:
+                out.settle(new)
                 out.even(new, value >> 16, 1 << np.maximum(rest - 16, 0))
             out.even(new, value & 0xFFFF, 1 << np.minimum(rest, 16))
-        model.update(number[t], new)
+        model.update(d, new)
     for _ in range(3):
         top = np.floor(out.low / _LOW)
         out.words[out.pos] = top
@@ -258,8 +264,8 @@ class _In:
         self.pos = pos + 3
         self.span = np.full(len(words), _FULL)
 
-    def settle(self):
-        at = np.flatnonzero(self.span < _LOW)
+    def settle(self, some: np.ndarray | None = None):
+        at = np.flatnonzero(self.span < _LOW) if some is None else some[self.span[some] < _LOW]
         while len(at):
             if self.span[at].min() < 1:
                 raise ValueError("a block is not what was written")
@@ -273,7 +279,7 @@ class _In:
         value = np.minimum(np.floor(self.x[at] / np.maximum(r, 1)), most - 1)
         self.x[at] -= r * value
         self.span[at] = r
-        self.settle()
+        self.settle(at)
         return value.astype(np.int64)
 
 
@@ -323,14 +329,18 @@ def _decode(words: list[np.ndarray], steps: int, vocabulary: int) -> np.ndarray:
             at = np.arange(len(new)), bits
             code.x[new] -= r * (ends[at] - own[at])
             code.span[new] = r * own[at]
-            code.settle()
             model.bits[new, bits] += _BITS_GAIN
             rest = np.maximum(bits - 1, 0)
-            high = code.even(new, 1 << np.maximum(rest - 16, 0)) << 16 if vocabulary > 1 << 17 else 0
+            high = 0
+            if vocabulary > 1 << 17:
+                code.settle(new)
+                high = code.even(new, 1 << np.maximum(rest - 16, 0)) << 16
             value = (high | code.even(new, 1 << np.minimum(rest, 16))) + (1 << rest) * (bits > 0)
             ids[new, d[new]] = np.minimum(value, vocabulary - 1)
         model.update(d, new)
-    return np.take_along_axis(ids, model.history.T.astype(np.int64), axis=1)
+    for k in range(lanes):
+        ids[k] = ids[k].take(model.history[:, k])
+    return ids
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[bytes]:
@@ -341,7 +351,7 @@ def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[
         raise ValueError("an id is not below the vocabulary's size, or a block is too long")
     n = -(-len(ids) // block)
     steps = min(block, len(ids))
-    padded = np.full(n * steps, ids[-1], np.int64)
+    padded = np.full(n * steps, ids[-1], np.uint32)
     padded[: len(ids)] = ids
     grid = padded.reshape(n, steps)
     lots = -(-n // LANES)

@@ -27,9 +27,13 @@ def id_splits(docs: DataFrame, parts: int, key: str = "doc_id") -> list:
     return sorted(set(found or []))
 
 
+def shuffle_parts(spark) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def parts_for(spark, factor: int = 1) -> int:
-    """As many parts as the session's shuffle partitions, times ``factor``, up to 2,000."""
-    return min(2000, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * factor))
+    """As many parts as the session's shuffle partitions, times ``factor``, up to 2,000, as every part is a leaf of an expression."""
+    return min(2000, max(1, shuffle_parts(spark) * factor))
 
 
 def id_bucket(key: Column, splits: Sequence) -> Column:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.ranges import parts_for
+from vectide.llm.ranges import shuffle_parts
 from vectide.llm.rangecoder import BLOCK, LANES, block_size, decode_blocks, encode_blocks
 from vectide.llm.scratch import materialize, ship
 from vectide.llm.textvec import runs, strings
@@ -98,7 +98,7 @@ def _write(path: str, end: int):
 def write(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = END) -> DataFrame:
     """The table of file images (part, file, n_tokens, image), written once."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts_for(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(rows.mapInArrow(_write(vocabulary(tokenizer), end), FILE_SCHEMA), "ids")
 
 
