@@ -7,6 +7,7 @@ is a run of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def _tidy():
+    """Has the C library, where it is glibc, give freed arrays back from 8 MB on instead of keeping up to 64 MB a worker."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        for option in (-1, -3):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+            libc.mallopt(option, 8 << 20)
+
+
+_tidy()
+
+
 class Powers:
     """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
 
