@@ -1,8 +1,10 @@
 """Token ids, files of them, packing and unigram counts."""
 
+import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -190,6 +192,57 @@ def test_blocks_are_smaller_than_zlibs_and_than_order_0(real):
     assert ours < 0.85 * theirs and 8 * ours < -(share * np.log2(share)).sum() * len(ids)
 
 
+def test_coding_takes_few_calls_a_step():
+    """Calls are what a step costs beside the lanes; what can be told of all steps at once is."""
+    ids = np.random.default_rng(0).zipf(1.3, 8 * rangecoder.BLOCK) % 49408
+    calls = Counter()
+
+    def took(what, *args):
+        sys.setprofile(lambda frame, event, arg: calls.update([what.__name__] if event in ("call", "c_call") else []))
+        try:
+            return what(*args)
+        finally:
+            sys.setprofile(None)
+
+    assert (took(rangecoder.decode_blocks, took(rangecoder.encode_blocks, ids, 49408)) == ids).all()
+    assert calls["encode_blocks"] < 35 * rangecoder.BLOCK and calls["decode_blocks"] < 76 * rangecoder.BLOCK
+
+
+def test_the_format_stays():
+    """Digests of blocks as the coder wrote them that went step by step."""
+    rng = np.random.default_rng(7)
+    for ids, size, want in ((rng.zipf(1.2, 70000) % 49408, 49408, "ccaa7a771ae0e237"), (rng.integers(0, 3_000_000, 9000), 3_000_000, "88c073bd93f907ee")):
+        blocks = rangecoder.encode_blocks(ids, size)
+        assert hashlib.sha256(b"".join(blocks)).hexdigest()[:16] == want and (rangecoder.decode_blocks(blocks) == ids).all()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_are_learnt_together(name):
+    """New words of letters take a call of the library for hundreds, whatever their letters; İ becomes two words in lower case."""
+    rng = random.Random(6)
+    words = list({"".join(rng.choice("abcdeéüß") for _ in range(rng.randrange(3, 12))) for _ in range(1500)})
+    want, calls = library(name), Counter()
+    for text, most in ((" ".join(words), 6), ("\n".join(x.upper() for x in words), 6), ("a " + " ".join(words[:40]) + " İb xİ日 c3 d'e\nİ\nÀ", 99)):
+        encoder = Encoder(vocabulary(name))
+        whole = encoder.library
+
+        class Counting:
+            get_vocab_size = whole.get_vocab_size
+
+            def encode(self, *args, **more):
+                calls["encode"] += 1
+                return whole.encode(*args, **more)
+
+            def encode_batch_fast(self, texts, **more):
+                calls["encode"] += len(texts)
+                return whole.encode_batch_fast(texts, **more)
+
+        encoder.library, calls["encode"] = Counting(), 0
+        raw, at = strings(pa.array([text]))
+        assert encoder.encode(raw, at)[0].tolist() == want.encode(text, add_special_tokens=False).ids
+        assert calls["encode"] <= most
+
+
 def expected_files(rows):
     t, out, at = library("word_bpe_49k.json"), [], 0
     for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):

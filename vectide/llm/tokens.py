@@ -26,6 +26,8 @@ LIMIT = 1 << 20
 _BITS = 21
 #: So many new chunks are encoded as one text.
 _JOINED = 128
+#: So many where each chunk is a word of letters, whose ids are told apart by the library's numbers of words.
+_WORDS_JOINED = 512
 #: A chunk longer than so many words of eight bytes is hashed by itself.
 _WORDS = 32
 
@@ -161,6 +163,8 @@ class Encoder:
         self.added = [t.content.encode().lower() for t in added]
         uncut = lambda t: not (set(t.content) & {*MARKS, *" \n"} or t.lstrip or t.rstrip or t.single_word)
         self.chunked = all(uncut(t) for t in added)
+        #: Whether a newline between words is a word of its own, and not dropped.
+        self.newline = len(set(self.library.encode("a\na", add_special_tokens=False).word_ids)) == 3
         self.clear()
 
     @classmethod
@@ -175,7 +179,7 @@ class Encoder:
         self.at = np.zeros(1 << 16, np.int32)
         self.n = self.used = 0
 
-    def _keep(self, ids: list, size: np.ndarray) -> np.ndarray:
+    def _keep(self, ids: list | np.ndarray, size: np.ndarray) -> np.ndarray:
         """Takes the ids of new chunks, end to end, and numbers the chunks."""
         total = int(size.sum())
         while self.used + total > len(self.flat):
@@ -192,9 +196,18 @@ class Encoder:
     def _learn(self, chunks: list[bytes]) -> np.ndarray:
         """Numbers for new chunks. Those that may stand side by side, a newline before those that begin without a
         space, are encoded as one text, whose ids go to chunks by their places; the others one by one."""
-        joined = [k for k, c in enumerate(chunks) if _may_join(c)]
         out = np.zeros(len(chunks), np.int32)
-        alone = sorted(set(range(len(chunks))) - set(joined))
+        after_space, after_line, joined, alone = kinds = [], [], [], []
+        for k, c in enumerate(chunks):
+            kinds[_kind(c)].append(k)
+        for words, between in ((after_space, b""), (after_line, b"\n")):
+            for i in range(0, len(words), _WORDS_JOINED):
+                some = words[i : i + _WORDS_JOINED]
+                numbers = self._learn_words([chunks[k] for k in some], between)
+                if numbers is None:
+                    joined += some
+                else:
+                    out[some] = numbers
         for i in range(0, len(joined), _JOINED):
             some = joined[i : i + _JOINED]
             pieces = [x for k in some for x in ((chunks[k],) if chunks[k][0] == 0x20 else (b"\n", chunks[k]))]
@@ -215,6 +228,25 @@ class Encoder:
             out[alone] = self._keep([x for e in ids for x in e], np.fromiter(map(len, ids), np.int64, len(ids)))
         return out
 
+    def _learn_words(self, chunks: list[bytes], between: bytes) -> np.ndarray | None:
+        """Numbers for new chunks that are encoded as one text, if each proves to be one word of the library's. As no
+        word lies in two chunks and none is without one, that is so where there are as many words as chunks."""
+        text = between.join(chunks)
+        begin = np.cumsum([0, *map(len, chunks[:-1])])
+        begin += len(between) * np.arange(len(chunks))
+        edges = np.concatenate((begin[1:], begin[1:] - len(between)))
+        if not np.isin(edges, chunk_starts(np.frombuffer(text, np.uint8), np.zeros(1, np.int64))).all():
+            return None
+        found = self.library.encode(text.decode(), add_special_tokens=False)
+        size = np.bincount(np.array(found.word_ids, np.int64))
+        ids = np.array(found.ids)
+        if between and self.newline:
+            if len(size) != 2 * len(chunks) - 1:
+                return None
+            ids = ids[np.repeat(np.arange(len(size)) % 2 == 0, size)]
+            size = size[::2]
+        return self._keep(ids, size) if len(size) == len(chunks) and size.all() else None
+
     def _whole(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         body = data.tobytes()
         ids = [self.library.encode(body[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -267,4 +299,16 @@ def _may_join(c: bytes) -> bool:
     """Whether other chunks may stand before and behind this one without a change to either."""
     head = c[1:] if c[:1] == b" " else c
     last = c[-1]
-    return bool(head) and not (_SPACE[head[0]] or _LEAD2[head[0]] or _LEAD3[head[0]]) and last < 0x80 and not _SPACE[last]
+    # What C3 begins is no white space.
+    return bool(head) and not (_SPACE[head[0]] or _LEAD2[head[0]] or _LEAD3[head[0]]) and (last < 0x80 or c[-2:-1] == b"\xc3") and not _SPACE[last]
+
+
+def _kind(c: bytes) -> int:
+    """0 and 1: letters alone, with a space before them and without; 2: others that may be joined; 3: the rest."""
+    space = c[:1] == b" "
+    head = c[1:] if space else c
+    if head.isalpha():  # of ASCII
+        return 0 if space else 1
+    if not _may_join(c):
+        return 3
+    return (0 if space else 1) if head.decode("utf-8", "replace").isalpha() else 2
