@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
-LANES = 2048
+LANES = 3584
 _HEAD = struct.Struct("<4sIIIII")  # magic, steps, ids, crc32 of the ids, vocabulary, words
 _MAGIC = b"vrc3"
 _BITS2 = 12
@@ -152,14 +152,28 @@ class _Out:
         self.words = np.zeros(lanes * wide, np.uint32)
         self.wide, self.pos = wide, np.arange(lanes, dtype=np.int64) * wide
 
+    def room(self, more: int):
+        """Sees to it that ``more`` words fit in each lane."""
+        lanes = len(self.pos)
+        base = np.arange(lanes, dtype=np.int64) * self.wide
+        if (self.pos - base).max() + more > self.wide:
+            wide = self.wide * 3 // 2 + more
+            words = np.zeros((lanes, wide), np.uint32)
+            words[:, : self.wide] = self.words.reshape(lanes, self.wide)
+            self.pos += np.arange(lanes, dtype=np.int64) * (wide - self.wide)
+            self.words, self.wide = words.reshape(-1), wide
+
     def narrow(self, begin: np.ndarray, size: np.ndarray, total: np.ndarray):
         r = self.span / total
         np.floor(r, out=r)
         self.low += r * begin
         np.multiply(r, size, out=self.span)
-        some = self.settle(self.low, self.span, self.pos)
-        if some.any():
-            at = np.flatnonzero(some)
+        self.settle(self.low, self.span, self.pos)
+
+    def rest(self):
+        """Words that are still certain, of the few lanes that have any."""
+        at = np.flatnonzero(self.span < _LOW)
+        if len(at):
             self.narrow_some(at, self.low[at], self.span[at])
 
     def narrow_some(self, at: np.ndarray, low: np.ndarray, span: np.ndarray):
@@ -187,6 +201,7 @@ class _Out:
 
     def close(self) -> list[np.ndarray]:
         """The words of each lane."""
+        self.room(8)
         for _ in range(3):
             top = np.floor(self.low / _LOW)
             self.words[self.pos] = top.astype(np.uint32)
@@ -252,8 +267,9 @@ def _encode(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
     bits_begin, bits_own, bits_total, value, rest = (x[order] for x in more)
     at_step = np.searchsorted(step, np.arange(steps + 1)).tolist()
 
-    weights, out, each = _Weights(lanes), _Out(lanes, 4 * steps + 8), np.arange(lanes, dtype=np.int64)
+    weights, out, each = _Weights(lanes), _Out(lanes, steps + 8), np.arange(lanes, dtype=np.int64)
     for a in range(0, steps, _EVERY):
+        out.room(8 * _EVERY)
         code = codes[a : a + _EVERY]
         flag = [(code >> np.uint16(bit) & np.uint16(1)).astype(bool) for bit in range(5, 10)]
         at = (code & np.uint16(31)) * np.int64(lanes) + each
@@ -264,18 +280,22 @@ def _encode(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
             weights.all[at[t]] = w[t] + gain[t]
         if len(code) == _EVERY:
             weights.settle()
+        some = slice(a, a + _EVERY)
         w1, w2, w0, w3 = (w.view(np.uint16)[:, k::4].astype(float) for k in range(4))
-        count = n[a : a + _EVERY].astype(float)
-        begin = (w1 * flag[0] + w2 * flag[1]) * count + w0 * low[a : a + _EVERY]
-        size = (w1 * flag[2] + w2 * flag[3] + w3 * flag[4]) * count + w0 * own[a : a + _EVERY]
+        count = n[some].astype(float)
+        begin = (w1 * flag[0] + w2 * flag[1]) * count + w0 * low[some]
+        size = (w1 * flag[2] + w2 * flag[3] + w3 * flag[4]) * count + w0 * own[some]
         total = (w1 + w2 + w0 + w3) * count
         for t in range(len(code)):
             out.narrow(begin[t], size[t], total[t])
             i, j = at_step[a + t : a + t + 2]
             if i < j:
                 who = lane[i:j]
-                r = np.floor(out.span[who] / bits_total[i:j])
-                lower = out.low[who] + r * bits_begin[i:j]
+                lower, span = out.low[who], out.span[who]
+                if span.min() < _LOW:
+                    out.narrow_some(who, lower, span)
+                r = np.floor(span / bits_total[i:j])
+                lower += r * bits_begin[i:j]
                 span, left, v = r * bits_own[i:j], rest[i:j], value[i:j]
                 if vocabulary > 1 << 17:
                     out.narrow_some(who, lower, span)
@@ -284,7 +304,8 @@ def _encode(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
                     lower, span = out.low[who], out.span[who]
                 r = np.floor(span / (1 << np.minimum(left, 16)))
                 lower += r * (v & 0xFFFF)
-                out.narrow_some(who, lower, r)
+                out.low[who], out.span[who] = lower, r
+            out.rest()
     return out.close()
 
 
@@ -303,9 +324,12 @@ class _In:
     def narrow(self, lower: np.ndarray, span: np.ndarray):
         self.x -= lower
         self.span = span
-        some = self.settle(self.x, self.span, self.pos)
-        if some.any():
-            at = np.flatnonzero(some)
+        self.settle(self.x, self.span, self.pos)
+
+    def rest(self):
+        """Words that are still to be taken in, of the few lanes that lack any."""
+        at = np.flatnonzero(self.span < _LOW)
+        if len(at):
             self.narrow_some(at, self.x[at], self.span[at])
 
     def narrow_some(self, at: np.ndarray, x: np.ndarray, span: np.ndarray):
@@ -377,7 +401,7 @@ def _decode(words: list[np.ndarray], steps: int, vocabulary: int) -> np.ndarray:
     """The ids, (lanes, steps)."""
     lanes = len(words)
     code, weights, order0 = _In(words), _Weights(lanes), _Order0(lanes, steps)
-    ids = np.zeros((lanes, steps), np.uint32)  # by number
+    ids = np.zeros((lanes, steps), np.uint16 if vocabulary <= 1 << 16 else np.uint32)  # by number
     history = np.zeros((steps, lanes), np.uint16)
     table = np.zeros((steps + (1 << _BITS2)) * lanes, np.uint16)  # order 1, then order 2: a number << 2 | its confidence
     kinds = np.arange((vocabulary - 1).bit_length() + 2, dtype=np.uint16)
@@ -469,6 +493,8 @@ def _decode(words: list[np.ndarray], steps: int, vocabulary: int) -> np.ndarray:
         if len(new):
             mine = shares.take(new, axis=0, mode="clip")
             span, x = code.span[new], code.x[new]
+            if span.min() < _LOW:
+                code.narrow_some(new, x, span)
             total = mine[:, -1]
             r = np.floor(span / total)
             v = np.minimum(np.floor(x / r), total - 1).astype(np.uint16)
@@ -486,13 +512,14 @@ def _decode(words: list[np.ndarray], steps: int, vocabulary: int) -> np.ndarray:
                 value += high << 16
                 code.narrow_some(new, x, span)
             more, span = code.even(x, span, most.take(bits))
-            code.narrow_some(new, x, span)
+            code.x[new], code.span[new] = x, span
             value += more
             np.minimum(value, vocabulary - 1, out=value)
             ids.reshape(-1)[new * steps + d.take(new)] = value
             known += fresh
             if t:
                 n += fresh
+        code.rest()
         # What is learnt from it.
         which = hit[1].view(np.uint8) << np.uint8(1)
         which |= hit[0].view(np.uint8)
@@ -524,13 +551,13 @@ def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[
         raise ValueError("an id is not below the vocabulary's size, or a block is too long")
     n = -(-len(ids) // block)
     steps = min(block, len(ids))
-    padded = np.full(n * steps, ids[-1], np.uint32)
+    padded = np.full(n * steps, ids[-1], np.uint16 if vocabulary <= 1 << 16 else np.uint32)
     padded[: len(ids)] = ids
     grid = padded.reshape(n, steps)
     lots = -(-n // LANES)
     out = []
     for lot in np.array_split(np.arange(n), lots):
-        for k, words in zip(lot, _encode(grid[lot], vocabulary), strict=True):
+        for k, words in zip(lot, _encode(grid[lot[0] : lot[-1] + 1], vocabulary), strict=True):
             real = ids[k * steps : (k + 1) * steps].astype("<u4")
             out.append(_HEAD.pack(_MAGIC, steps, len(real), zlib.crc32(real.tobytes()), vocabulary, len(words)) + words.astype("<u2").tobytes())
     return out

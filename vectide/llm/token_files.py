@@ -65,6 +65,7 @@ def _write(path: str, end: int):
     def run(batches):
         encoder, part, number = Encoder.open(path), TaskContext.get().partitionId(), 0
         size = max(encoder.library.get_vocab_size(), end + 1)
+        kind = np.uint16 if size <= 1 << 16 else np.uint32
         doc_ids: list = []
         sizes: list[int] = []
         ids: list[np.ndarray] = []
@@ -83,7 +84,7 @@ def _write(path: str, end: int):
             for i, j in runs(bounds):
                 flat, at = encoder.encode(raw, bounds[i : j + 1])
                 n = j - i
-                ids.append(np.insert(flat, at[1:], np.uint32(end)))
+                ids.append(np.insert(flat.astype(kind, copy=False), at[1:], kind(end)))
                 sizes += (np.diff(at) + 1).tolist()
                 doc_ids += names[i:j]
                 held += len(flat) + n
@@ -97,8 +98,10 @@ def _write(path: str, end: int):
 
 def write(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = END) -> DataFrame:
     """The table of file images (part, file, n_tokens, image), written once."""
-    ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    spark = ship(docs.sparkSession)
+    # A step of the coder costs much the same whatever its lanes, so two parts' blocks are coded side by side.
+    parts = max(min(shuffle_parts(spark), spark.sparkContext.defaultParallelism), shuffle_parts(spark) // 2)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(rows.mapInArrow(_write(vocabulary(tokenizer), end), FILE_SCHEMA), "ids")
 
 
@@ -111,7 +114,8 @@ def _read(batches):
         for k in range(batch.num_rows):
             part, file, image = (batch.column(c)[k].as_py() for c in ("part", "file", "image"))
             doc_ids, bounds, ids = read_image(image)
-            raw = ids.astype("<u4").tobytes()
+            raw = ids.astype("<u4", copy=False).tobytes()
+            del ids
             for i in range(0, len(doc_ids), 2000):
                 own = bounds[i : i + 2001]
                 body = [raw[4 * a : 4 * b] for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
